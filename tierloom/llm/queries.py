@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .simhash import op7_simhash
 
 QUERIES = {
+    "op7_simhash": op7_simhash,
     "op9_decontaminate": op9_decontaminate,
 }
 SQL = {
