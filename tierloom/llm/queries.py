@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .mix import op3_mix
+from .shard import op8_shard
 from .simhash import op7_simhash
 
 QUERIES = {
+    "op3_mix": op3_mix,
     "op7_simhash": op7_simhash,
+    "op8_shard": op8_shard,
     "op9_decontaminate": op9_decontaminate,
 }
 SQL = {
