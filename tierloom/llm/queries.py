@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chunks import op2_chunks
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .jpeg import op1_jpeg
 from .license import op5_license
@@ -13,6 +14,7 @@ from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_jpeg": op1_jpeg,
+    "op2_chunks": op2_chunks,
     "op3_mix": op3_mix,
     "op5_license": op5_license,
     "op6_toxicity": op6_toxicity,
