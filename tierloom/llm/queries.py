@@ -6,6 +6,7 @@ from .chunks import op2_chunks
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .jpeg import op1_jpeg
 from .license import op5_license
+from .lines import OP4_SQL, op4_lines
 from .mix import op3_mix
 from .quality import op10_quality
 from .shard import op8_shard
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_jpeg": op1_jpeg,
     "op2_chunks": op2_chunks,
     "op3_mix": op3_mix,
+    "op4_lines": op4_lines,
     "op5_license": op5_license,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
@@ -24,5 +26,6 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 SQL = {
+    "op4_lines": OP4_SQL,
     "op9_decontaminate": OP9_SQL,
 }
