@@ -176,7 +176,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     patterns = texts.groupBy("pattern").agg(F.sum("size").alias("words")).orderBy(F.col("words").desc(), "pattern").limit(PATTERNS + len(held)).collect()
     once = {r["pattern"]: r["words"] for r in patterns}
     many = spark.createDataFrame([(p,) for p in once if " " in p], "pattern string")
-    shared = texts.where(F.col("pattern").contains(" ")).join(F.broadcast(many), "pattern").select("text", "pattern")
+    shared = settle(texts.where(F.col("pattern").contains(" ")).join(F.broadcast(many), "pattern").select("text", "pattern"), "shared")
     rows = rows.join(shared, "text", "left").withColumn("pattern", F.coalesce("pattern", F.col("src").cast("string")))
     rows = rows.withColumn("part", F.when(F.col("pattern").contains(" "), 0).when(F.col("size") * F.col("documents") > F.col("source_size"), 1).otherwise(2))
     found = [tuple(r) for r in rows.groupBy("part", "pattern", "src").agg(F.sum("size").alias("words")).collect()]

@@ -16,6 +16,7 @@ included; a component whose ids are all null has a null component id. Other colu
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,6 +30,10 @@ from .common import KEY, SPACE_BYTES, read, row_key, settle
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
+#: For documents by similarity: words of a shingle, least similarity, and 64-bit fingerprints of a sketch.
+WORDS, SIMILARITY, ROUTES = 5, 0.8, 8
+#: Standard errors of the estimate by which a pair may fall short of the similarity: pairs just above it must not be lost.
+SLACK = 1.0
 #: Fingerprints of a chunk of an oversized shard; mean shard load above which one more block is cut.
 CELL, LOAD = 512, 32
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -99,21 +104,26 @@ class BKTree:
         return found
 
 
-def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Spanning edges of the links among values: each is looked up in the tree of those before it."""
-    tree, up, out = BKTree(), {}, []
+def forest(values: list[int], radius: int, same=None) -> list[tuple[int, int]]:
+    """Spanning edges (indexes) of the links among values: each is looked up in the tree of those before it.
+
+    same(i, j), if given, must also hold for a link.
+    """
+    tree, at, up, out = BKTree(), defaultdict(list), list(range(len(values))), []
 
     def top(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = x = up[y]
+        while up[x] != x:
+            up[x] = x = up[up[x]]
         return x
 
-    for v in values:
+    for i, v in enumerate(values):
         for w in tree.within(v, radius):
-            if (a := top(v)) != (b := top(w)):
-                up[max(a, b)] = min(a, b)
-                out.append((v, w))
+            for j in at[w]:
+                if (a := top(i)) != (b := top(j)) and (same is None or same(i, j)):
+                    up[max(a, b)] = min(a, b)
+                    out.append((i, j))
         tree.add(v)
+        at[v].append(i)
     return out
 
 
@@ -128,29 +138,49 @@ def _cuts(n: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in keep]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """distinct fp -> a, b: edges that connect whatever links connect."""
-    masks = _cuts(distinct.count(), radius)
-    shard = F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
-    routed = distinct.select("fp", shard.alias("s")).select("fp", "s.cut", "s.key")
+def _cells(routed: DataFrame) -> DataFrame:
+    """routed: node, fp, sketch, cut, key -> one row per cell of two nodes or more: items (array of node, fp, sketch)."""
     large = routed.groupBy("cut", "key").count().where(F.col("count") > 2 * CELL).select("cut", "key", F.ceil(F.col("count") / CELL).cast("int").alias("chunks"))
     dealt = routed.join(large, ["cut", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    dealt = dealt.select("fp", "cut", "key", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
-    cells = dealt.groupBy("cut", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = dealt.select("node", "fp", "sketch", "cut", "key", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    items = F.collect_list(F.struct("node", "fp", "sketch")).alias("items")
+    return dealt.groupBy("cut", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(items).where(F.size("items") > 1).select("items")
+
+
+def _route(fp: str | int, masks: list[int], first: int = 0) -> list:
+    return [F.struct(F.lit(first + i).alias("cut"), F.col(fp).bitwiseAND(F.lit(m)).alias("key"), F.col(fp).alias("fp")) for i, m in enumerate(masks)]
+
+
+def _joined(cells: DataFrame, radius: int, apart: int | None) -> DataFrame:
+    """Edges a, b between nodes; apart: most differing bits of two sketches, None: sketches are not compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column, found = b.column(0), []
-            values, offsets = column.values.to_numpy().view(np.uint64).tolist(), column.offsets.to_pylist()
+            item, offsets = column.values, column.offsets.to_pylist()
+            nodes, fps = item.field(0).to_numpy(), item.field(1).to_numpy().view(np.uint64).tolist()
+            sketches = item.field(2)
             for a, z in zip(offsets, offsets[1:], strict=False):
-                found += forest(sorted(values[a:z]), radius)
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                if apart is None:
+                    same = None
+                else:
+                    own = [int.from_bytes(x.as_py(), "big") for x in sketches[a:z]]
+                    same = lambda i, j, own=own: (own[i] ^ own[j]).bit_count() <= apart
+                found += [(a + i, a + j) for i, j in forest(fps[a:z], radius, same)]
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """distinct fp -> a, b: edges that connect whatever links connect."""
+    shard = F.explode(F.array(*_route("fp", _cuts(distinct.count(), radius)))).alias("s")
+    routed = distinct.select(F.col("fp").alias("node"), F.lit(None).cast("binary").alias("sketch"), shard).select("node", "sketch", "s.*")
+    return _joined(_cells(routed), radius, None)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """id, row key, fp, root, component: for each row its component's name and the smallest id that links reach from it."""
     prints = settle(fingerprints(docs, id_col, text_col, words), "fingerprints")
@@ -161,9 +191,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(known.join(first, "root").select("fp", "root", "component"), "fp").select("id", *KEY, "fp", "root", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each component with its own columns: the one of the smallest id (null last), then of the smallest key."""
-    found = settle(near_duplicates(docs, id_col, text_col, words, radius).select("id", *KEY, "root"), "near")
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, ROUTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _wide(h: np.ndarray) -> bytes:
+    """ROUTES fingerprints of 64 bits of the hashes h: a bit is set if it is set in over half of the mixed hashes."""
+    if not len(h):
+        return bytes(8 * ROUTES)
+    mixed = h[:, None] * _MIX
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    width = 8 * ROUTES
+    counts = np.bincount((mixed.view(np.uint8) + (np.arange(width) * 256)).ravel(), minlength=width * 256).reshape(width, 256)
+    return np.packbits((counts @ _BITS).ravel() * 2 > len(h)).tobytes()
+
+
+def sketch(text: str | None, words: int = WORDS) -> tuple[bytes, bytes]:
+    """Fingerprints of the distinct words (the routes) and of the distinct shingles (the sketch) of a text."""
+    w = (text or "").encode().translate(SPACE_BYTES).split()
+    digest = xxhash.xxh3_64_intdigest
+    line = b" ".join(w)
+    if len(w) <= words:
+        shingles = {digest(line)} if w else set()
+    else:
+        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        shingles = {digest(line[a:b]) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=False)}
+    names = set(map(digest, set(w)))
+    return _wide(np.fromiter(names, np.uint64, len(names))), _wide(np.fromiter(shingles, np.uint64, len(shingles)))
+
+
+def bits_apart(similarity: float, errors: float = 0) -> int:
+    """Bits of a sketch that differ between sets of this Jaccard similarity, on average plus some standard errors."""
+    share, bits = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 64 * ROUTES
+    return round(bits * share + errors * (bits * share * (1 - share)) ** 0.5)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """id, row key and root: components of documents whose shingle sets have the similarity, as their sketches estimate it.
+
+    A sketch is ROUTES fingerprints wide and estimates the Jaccard similarity of the shingles; it is compared for pairs of
+    which one of ROUTES fingerprints of their distinct words links in its BK-trees. An edit changes one word but
+    `words` shingles, so documents as similar as asked for have almost the same words, and one of the routes links.
+    """
+    own = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
+    many = ROUTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sketch(t.as_py(), words) for t in b.column(3)]
+            routes = np.frombuffer(b"".join(f[0] for f in found), ">i8").astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, many * len(found) + 1, many, dtype=np.int32)), pa.array(routes))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], lists, pa.array([f[1] for f in found], pa.binary())], names=["id", *KEY, "routes", "sketch"])
+
+    rows = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, _k1 long, _k2 int, routes array<long>, sketch binary")
+    rows = settle(rows.withColumn("node", F.xxhash64("routes", "sketch")), "sketches")
+    distinct = rows.dropDuplicates(["node"])
+    masks = _cuts(rows.count(), RADIUS)
+    shards = [x for i in range(many) for x in _route(f"_{i}", masks, i * len(masks))]
+    routed = distinct.select("node", "sketch", *(F.get("routes", F.lit(i)).alias(f"_{i}") for i in range(many)))
+    routed = routed.select("node", "sketch", F.explode(F.array(*shards)).alias("s")).select("node", "sketch", "s.*")
+    roots = components(_joined(_cells(routed), RADIUS, bits_apart(similarity, SLACK)))
+    return rows.select("id", *KEY, "node").join(roots, "node", "left").select("id", *KEY, F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each component of similar_documents, with its own columns: of the smallest id (null last), then key."""
+    found = settle(similar_documents(docs, id_col, text_col, **how), "near")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", *KEY)).alias("best")).select("best._k1", "best._k2")
     own = docs.select(F.struct("*").alias("_row"), *row_key(id_col, text_col))
     kept = own.join(best, KEY, "left_semi")
