@@ -1,0 +1,54 @@
+"""Readers of raw rows and dimensions, and the report sinks."""
+
+from __future__ import annotations
+
+import json
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.text import normalize_key, normalize_title
+from ..operators.rules import attributes_type
+from ..packs import Brand, Pack
+
+RAW = "row_id string, sku string, title string"
+
+
+def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Raw rows; empty cells are empty strings. Columns are matched by name, so extra ones and their order do not matter."""
+    df = spark.read.option("header", True).option("multiLine", True).csv(path)
+    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("row_id", "sku", "title")])
+
+
+def write_raw_csv(df: DataFrame, path: str) -> None:
+    df.select("row_id", "sku", "title").write.option("header", True).csv(path)
+
+
+def read_brands(path: str | Path) -> tuple[Brand, ...]:
+    rows = json.loads(Path(path).read_text(encoding="utf-8"))
+    return tuple(sorted((Brand(r["name"], tuple(r["aliases"]), r["kind"], bool(r.get("winter_bias", False))) for r in rows), key=lambda b: b.name))
+
+
+def read_catalog(spark: SparkSession, path: str, pack: Pack) -> DataFrame:
+    """key, category, subcategory, attributes, is_winter_rated; of rows that share a key the last line counts."""
+    df = spark.read.option("header", True).csv(path).withColumn("_line", F.monotonically_increasing_id())
+    key = normalize_key(F.coalesce("sku", F.lit("")))
+    last = F.row_number().over(W.partitionBy("key").orderBy(F.desc("_line")))
+    attrs = F.struct(*[F.nullif(F.col(f.name), F.lit("")).try_cast(f.dataType.simpleString()).alias(f.name) for f in attributes_type(pack)])
+    df = df.withColumn("key", key).withColumn("_r", last).where("_r = 1")
+    return df.select("key", "category", "subcategory", attrs.alias("attributes"), F.coalesce(F.col("is_winter_rated") == "1", F.lit(False)).alias("is_winter_rated"))
+
+
+def read_fixture(spark: SparkSession, path: str | Path, pack: Pack) -> DataFrame:
+    """title, category, subcategory, attributes, is_winter_rated of a fixture: a JSON object from title to decode."""
+    entries = json.loads(Path(path).read_text(encoding="utf-8"))
+    names = [f.name for f in attributes_type(pack)]
+    rows = [(t, e["category"], e["subcategory"], tuple(e.get("attributes", {}).get(n) for n in names), bool(e["is_winter_rated"])) for t, e in entries.items()]
+    schema = f"title string, category string, subcategory string, attributes {attributes_type(pack).simpleString()}, is_winter_rated boolean"
+    return spark.createDataFrame(rows, schema).withColumn("title", normalize_title(F.col("title")))
+
+
+def write_json(value: dict, path: str | Path) -> None:
+    Path(path).write_text(json.dumps(value, sort_keys=True, indent=2) + "\n", encoding="utf-8", newline="\n")
