@@ -86,33 +86,42 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(words(text)), -40, 40))))
 
 
-def _informative(rows: Sequence[Sequence[int]], y: np.ndarray) -> np.ndarray:
-    """Features whose presence and class depend on each other (likelihood ratio), the strongest first."""
-    n = np.stack([np.bincount(np.concatenate([np.asarray(r, np.int64) for r, k in zip(rows, y, strict=True) if k == c] or [np.zeros(0, np.int64)]), minlength=1 << HASH_BITS) for c in (0, 1)]).astype(float)
-    total = np.array([[(y == 0).sum()], [(y == 1).sum()]], float)
-    gain = np.zeros(n.shape[1])
-    for cell, margin in ((n, n.sum(0)), (total - n, (total - n).sum(0))):
-        expected = total / total.sum() * margin
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain += 2 * np.where(cell > 0, cell * np.log(cell / expected), 0).sum(0)
-    gain[n.sum(0) < SUPPORT] = 0
-    best = np.argsort(-gain, kind="stable")[:MOST_FEATURES]
-    return best[gain[best] >= GAIN]
-
-
-def fit(rows: Sequence[Sequence[int]], labels: Sequence[int], pairs: Sequence[tuple[Sequence[int], Sequence[int]]] = (), fairness: float = FAIRNESS) -> Model:
-    """rows: hashed features of labelled texts; pairs: features of texts and of their counterfactuals."""
+def informative(feature: np.ndarray, n: np.ndarray, bad: np.ndarray, rows: int, bad_rows: int) -> np.ndarray:
+    """Features whose presence and class depend on each other (likelihood ratio), the strongest first.
+
+    n, bad: the rows and the rows of label 1 that have the feature.
+    """
+    gain = np.zeros(len(feature))
+    for have, total in ((bad, bad_rows), (n - bad, rows - bad_rows)):
+        for cell, margin in ((have, n), (total - have, rows - n)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain += 2 * np.where(cell > 0, cell * np.log(cell * rows / (margin * total)), 0)
+    gain[n < SUPPORT] = 0
+    best = np.lexsort((feature, -gain))[:MOST_FEATURES]
+    return feature[best[gain[best] >= GAIN]]
+
+
+def fit(rows: Sequence[Sequence[int]], labels: Sequence[int], pairs: Sequence[tuple[Sequence[int], Sequence[int]]] = (), fairness: float = FAIRNESS, kept: np.ndarray | None = None) -> Model:
+    """rows: hashed features of labelled texts; pairs: features of texts and of their counterfactuals; kept: the features to fit (None: the informative ones)."""
     y = np.asarray(labels, float)
     share = float(y.mean()) if len(y) else 0.5
     edge = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     if not 0 < share < 1:
         return Model({}, edge)
-    kept = _informative(rows, y)
-    at = np.full(1 << HASH_BITS, -1)
-    at[kept] = np.arange(len(kept))
+    if kept is None:
+        flat = np.concatenate([np.asarray(r, np.int64) for r in rows])
+        feature, back = np.unique(flat, return_inverse=True)
+        kept = informative(feature, np.bincount(back).astype(float), np.bincount(back, np.repeat(y, [len(r) for r in rows])), len(y), y.sum())
+    if not len(kept):
+        return Model({}, edge)
+    order = np.argsort(kept)
 
     def sparse(sets: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [c[c >= 0] for c in (at[np.asarray(s, np.int64)] for s in sets)]
+        cols = []
+        for own in sets:
+            own = np.asarray(own, np.int64)
+            at = np.minimum(np.searchsorted(kept, own, sorter=order), len(kept) - 1)
+            cols.append(order[at][kept[order[at]] == own])
         return np.repeat(np.arange(len(sets)), [len(c) for c in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int64)
 
     (ri, ci), (ai, ac), (bi, bc) = sparse(rows), sparse([p[0] for p in pairs]), sparse([p[1] for p in pairs])
@@ -150,13 +159,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([int(o[0]) for o in out], pa.int32()), pa.array([o[1] for o in out], ints), pa.array([o[2] for o in out], pa.list_(ints))], names=["label", "f", "swapped"])
 
-    t = rows.mapInArrow(run, "label int, f array<int>, swapped array<array<int>>").toArrow()
-    f, y, swapped = t["f"].combine_chunks(), t["label"].to_numpy(), t["swapped"].to_pylist()
-    values, offsets = f.flatten().to_numpy(), np.concatenate(([0], np.cumsum(f.value_lengths().to_numpy(zero_copy_only=False)))) if len(f) else np.zeros(1, int)
-    own = [values[a:z] for a, z in zip(offsets, offsets[1:], strict=False)]
-    order = sorted(range(len(own)), key=lambda i: (int(y[i]), len(own[i]), own[i].tobytes()))  # the fit must not depend on the order of tasks
-    pairs = [(own[i], np.asarray(s)) for i in order for s in swapped[i]]
-    return fit([own[i] for i in order], [int(y[i]) for i in order], pairs, fairness)
+    rows = settle(rows.mapInArrow(run, "label int, f array<int>, swapped array<array<int>>"), "toxic-rows")
+    counts = rows.select("label", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).where(F.col("n") >= SUPPORT).toArrow()
+    total = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    kept = informative(counts["f"].to_numpy().astype(np.int64), counts["n"].to_numpy().astype(float), counts["bad"].to_numpy().astype(float), *map(float, total))
+    known_features = np.sort(kept)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The kept features of each row, and of its counterfactuals where they differ."""
+        ints = pa.list_(pa.int32())
+        few = lambda x: np.intersect1d(x, known_features).tolist()
+        for b in batches:
+            f = [few(x) for x in b.column(1).to_pylist()]
+            swapped = [[z for z in map(few, x) if z != own] for x, own in zip(b.column(2).to_pylist(), f, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, ints), pa.array(swapped, pa.list_(ints))], names=["label", "f", "swapped"])
+
+    found = rows.mapInArrow(thin, "label int, f array<int>, swapped array<array<int>>").toArrow()
+    own = sorted(zip(found["label"].to_pylist(), found["f"].to_pylist(), found["swapped"].to_pylist(), strict=True))  # the fit must not depend on the order of tasks
+    return fit([f for _, f, _ in own], [y for y, _, _ in own], [(f, z) for _, f, swapped in own for z in swapped], fairness, kept)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
