@@ -36,7 +36,7 @@ def test_held_out_accuracy(spark, frame, edge):
 def test_normal_equations_are_the_sums(spark, frame):
     docs, labels = corpus(120)
     stats = q.all_statistics(frame(docs), "doc_id", "text")
-    rows = q.train_rows(stats, spark.createDataFrame(labels, LABELS), "doc_id", "quality").localCheckpoint() if False else q.settle(q.train_rows(stats, spark.createDataFrame(labels, LABELS), "doc_id", "quality"), "t")
+    rows = q.settle(q.train_rows(stats, spark.createDataFrame(labels, LABELS), "doc_id", "quality"), "t")
     own = rows.collect()
     x, y = np.array([r.stats for r in own]), np.array([r.label for r in own], float)
     waves = q.Waves(x.mean(0), np.where(x.std(0) > 0, x.std(0), 1))

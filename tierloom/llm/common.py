@@ -41,12 +41,17 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 KEY = ["_k1", "_k2"]
 
 
+_OWN_DIR: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
+    """The folder the cluster shares: spark.checkpoint.dir, or, where that is unset (tests), a temporary one of this application."""
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
-        set_to = tempfile.mkdtemp(prefix="tierloom-")
-        spark.conf.set("spark.checkpoint.dir", set_to)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIR:
+            _OWN_DIR[app] = tempfile.mkdtemp(prefix="tierloom-")
+        set_to = _OWN_DIR[app]
     return set_to.rstrip("/")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, LOWER, UPPER, WORD_SEP, alnum_words, read, row_key
+from .common import KEY, LOWER, UPPER, WORD_SEP, alnum_words, read, row_key, settle
 
 WINDOW = 10
 #: Windows are broadcast while their words take no more bytes and rows than this; beyond it the join shuffles.
@@ -46,8 +46,6 @@ def prefixes(docs: DataFrame, windows: DataFrame, small: bool, text_col: str = "
 
 def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
     """Verified occurrences of windows: the row's key, start (words from 0), length, items."""
-    from .common import settle
-
     windows = settle(item_windows(bench, item_col, text_col, window), "windows")
     small = _fits(windows)
     wanted = settle(prefixes(docs, windows, small, text_col), "prefixes")
