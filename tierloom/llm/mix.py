@@ -4,8 +4,8 @@ A text that stands in several sources belongs to all of them: its membership pat
 source; the flow network has an arc for each (convex: the n-th copy of a pattern's texts costs more than the one before), an arc
 from a pattern to each of its sources (room for two copies of the rows it has there), and the sources' quotas. The solved
 flow says how many words of each class (pattern, source) the mix takes. Within a class, rows are taken in a seeded order until
-the words are reached, whole classes first once where more than one copy is due. Texts of one source alone come last, its long
-documents before its short ones, and make up what rounding to whole documents left over.
+the words are reached, whole classes first once where more than one copy is due. Texts of one source alone come last, from
+long to short, and make up what rounding to whole documents left over.
 
 Only the sums by source and by class reach the driver; patterns beyond `PATTERNS` (least words first) are treated as their
 sources alone, which meets the same quotas and only leaves their repetition cost out.
@@ -178,7 +178,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     many = spark.createDataFrame([(p,) for p in once if " " in p], "pattern string")
     shared = settle(texts.where(F.col("pattern").contains(" ")).join(F.broadcast(many), "pattern").select("text", "pattern"), "shared")
     rows = rows.join(shared, "text", "left").withColumn("pattern", F.coalesce("pattern", F.col("src").cast("string")))
-    rows = rows.withColumn("part", F.when(F.col("pattern").contains(" "), 0).when(F.col("size") * F.col("documents") > F.col("source_size"), 1).otherwise(2))
+    long = F.col("size") * F.col("documents") / F.greatest("source_size", F.lit(1))  # in mean sizes
+    rows = rows.withColumn("part", F.when(F.col("pattern").contains(" "), 0).when(long > 4, 1).when(long > 1, 2).otherwise(3))
     found = [tuple(r) for r in rows.groupBy("part", "pattern", "src").agg(F.sum("size").alias("words")).collect()]
     classes: dict[tuple[str, int], int] = {}
     for _, p, s, words in found:
@@ -189,18 +190,21 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     due = route(once, classes, [round(g) for g in goal])
     number = spark.createDataFrame([(p, s, part, i) for i, (part, p, s, _) in enumerate(found)], "pattern string, src int, part int, class int")
     rows = settle(rows.join(F.broadcast(number), ["pattern", "src", "part"]).drop("pattern", "text", "documents"), "classes")
-    left, out = [round(g) for g in goal], None
-    for part in range(3):  # shared texts, then each source's long documents, then its short ones, which make up the difference
+    left, alone, out = [round(g) for g in goal], [0] * len(held), None
+    for part, _, s, words in found:
+        alone[s] += words if part else 0
+    for part in range(4):  # shared texts, then each source's documents from long to short, the next making up for the last
         wanted = {}
         for i, (of, p, s, words) in enumerate(found):
             if of == part:
-                share = due[p, s] if part == 0 else left[s] if part == 2 else round(left[s] * words / max(1, classes[p, s]))
+                share = due[p, s] if part == 0 else round(left[s] * words / max(1, alone[s]))
                 wanted[i] = (max(0, min(share, MOST * words)), words)
+                alone[s] -= words if part else 0
         taken = settle(_take(rows.where(F.col("part") == part), wanted), "taken")
         for s, words in taken.groupBy("src").agg(F.sum(F.col("size") * F.col("times"))).collect():
             left[s] -= words or 0
         out = taken if out is None else out.unionByName(taken)
-    return out.select("id", *KEY, "size", "source_size", "target", "times")
+    return out.select("id", *KEY, "size", "source_size", "target", F.when(F.col("size") > 0, F.col("times")).otherwise(0).alias("times"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
