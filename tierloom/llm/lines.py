@@ -35,7 +35,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def _sieve(leaves: DataFrame) -> DataFrame:
     """A bitmap of 2 ** 24 bits that has every leaf's bit set: bucket (65,536 at most) and four words of bits each."""
-    bit = leaves.selectExpr("cast(pmod(leaf, 65536) as int) AS bucket", "cast(shiftrightunsigned(leaf, 16) & 255 as int) AS pos")
+    bit = leaves.selectExpr("cast(leaf & 65535 as int) AS bucket", "cast(shiftrightunsigned(leaf, 16) & 255 as int) AS pos")
     words = [F.bit_or(F.expr(f"CASE WHEN pos DIV 64 = {i} THEN shiftleft(1L, pos & 63) ELSE 0L END")).alias(f"w{i}") for i in range(4)]
     return bit.groupBy("bucket").agg(*words)
 
@@ -43,7 +43,7 @@ def _sieve(leaves: DataFrame) -> DataFrame:
 def _sifted(every: DataFrame, sieve: DataFrame) -> DataFrame:
     """The lines whose leaf's bit is set: all of the leaves' lines and, by chance, a few others. The sieve's size is fixed, so it is broadcast."""
     bit = F.expr("shiftright(CASE cast(shiftrightunsigned(leaf, 22) & 3 as int) WHEN 0 THEN w0 WHEN 1 THEN w1 WHEN 2 THEN w2 ELSE w3 END, cast(shiftrightunsigned(leaf, 16) & 63 as int)) & 1 = 1")
-    own = every.withColumn("bucket", F.expr("cast(pmod(leaf, 65536) as int)"))
+    own = every.withColumn("bucket", F.expr("cast(leaf & 65535 as int)"))
     return own.join(F.broadcast(sieve), "bucket").where(bit).select(*every.columns)
 
 
@@ -51,17 +51,20 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """row key, n, line and template of every line to drop."""
     every = lines(docs, id_col, text_col)
     leaves = settle(every.select("leaf", *KEY).distinct().groupBy("leaf").count().where(F.col("count") >= MIN_DOCS).select("leaf"), "leaves")
-    shared = settle(_sifted(every, _sieve(leaves)).join(leaves, "leaf").withColumn("text", F.xxhash64("line")), "lines")
-    texts = settle(shared.groupBy("leaf", "text").agg(F.min("_k1").alias("a"), F.max("_k1").alias("b"), F.first("line").alias("line")), "texts")
-    token = F.posexplode(_tokens("line")).alias("at", "token")
-    tokens = texts.select("leaf", "text", "a", "b", token).select("leaf", "text", "a", "b", "at", F.xxhash64("leaf", "at", "token").alias("slot"))
+    found = _sifted(every, _sieve(leaves)).join(leaves, "leaf")
+    shared = settle(found.select(*KEY, "n", "line", "leaf", F.xxhash64("leaf", "line").alias("text")), "lines")
+    texts = settle(shared.groupBy("text").agg(F.min("_k1").alias("a"), F.max("_k1").alias("b"), F.first("leaf").alias("leaf"), F.first("line").alias("line")), "texts")
+    tokens = texts.select("text", "a", "b", "leaf", F.posexplode(_tokens("line")).alias("at", "token")).withColumn("slot", F.xxhash64("leaf", "at", "token"))
     constant = tokens.groupBy("slot").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("slot")
-    sizes = texts.select("leaf", "text", F.size(_tokens("line")).alias("size"))
-    kept = tokens.select("leaf", "text", "at", "slot").join(constant, "slot").groupBy("leaf", "text").agg(F.array_sort(F.collect_list("at")).alias("constants"))
-    matched = kept.join(sizes, ["leaf", "text"]).where(F.size("constants") >= MIN_CONSTANT * F.col("size")).select("leaf", "text", "constants")
-    found = shared.join(settle(matched, "matched"), ["leaf", "text"]).distinct()
-    template = F.array_join(F.transform(_tokens("line"), lambda t, i: F.when(F.array_contains("constants", i), t).otherwise(MASK)), " ")
-    return found.select(*KEY, "n", "line", template.alias("template"))
+    # a text of two documents is constant throughout; of the others, the tokens are looked up
+    kept = tokens.where("a = b").select("text", "at", "slot").join(constant, "slot").groupBy("text").agg(F.array_sort(F.collect_list("at")).alias("constants"))
+    alone = texts.where("a = b").select("text", F.size(_tokens("line")).alias("size")).join(kept, "text").where(F.size("constants") >= MIN_CONSTANT * F.col("size"))
+    matched = settle(alone.select("text", "constants").unionByName(texts.where("a <> b").select("text", F.lit(None).cast("array<int>").alias("constants"))), "matched")
+    found = shared.drop("leaf").join(matched, "text")
+    if not shared.groupBy(*KEY, "n").count().where("count > 1").isEmpty():  # rows that are equal throughout
+        found = found.dropDuplicates([*KEY, "n"])
+    masked = F.transform(_tokens("line"), lambda t, i: F.when(F.col("constants").isNull() | F.array_contains("constants", i), t).otherwise(MASK))
+    return found.select(*KEY, "n", "line", F.array_join(masked, " ").alias("template"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
