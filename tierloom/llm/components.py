@@ -13,8 +13,11 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _star(pairs: DataFrame, keep, own: bool) -> DataFrame:
-    """pairs u, v: joins the neighbours of each u to the least of them (u included)."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
+    """pairs u, v: joins the neighbours of each u to the least of them (u included).
+
+    The minima are settled, so that the join deals out both sides anew and Spark can split a node of very many neighbours.
+    """
+    least = settle(pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m")), "least")
     out = pairs.where(keep).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if own:
         out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
