@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.digest import sha256_json
 from ..functions.text import normalize_key, normalize_title, strip
 from ..packs import Pack
 from . import rules
@@ -169,6 +168,3 @@ def counts(outcomes: DataFrame) -> dict:
 def tier_invalid(outcomes: DataFrame) -> dict:
     return {r["tier"]: r["count"] for r in outcomes.select(F.explode("invalid").alias("tier")).groupBy("tier").count().collect()}
 
-
-def fixture_identity(entries: dict) -> str:
-    return sha256_json(entries)

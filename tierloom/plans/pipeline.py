@@ -15,7 +15,6 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.digest import sha256_json
 from ..operators import compare, contract, evaluate, gate, tiers
