@@ -19,6 +19,8 @@ from .common import KEY, read, row_key, settle
 
 DEPTH, MIN_DOCS, MIN_CONSTANT = 2, 3, 0.7
 MASK = "<*>"
+#: Letters of a token that chance neighbours rarely share.
+LONG = 6
 
 
 def _tokens(line: str) -> Column:
@@ -47,6 +49,27 @@ def _sifted(every: DataFrame, sieve: DataFrame) -> DataFrame:
     return own.join(F.broadcast(sieve), "bucket").where(bit).select(*every.columns)
 
 
+def _constants(texts: DataFrame, length: int) -> DataFrame:
+    """text, at: the constant tokens of at least that length of each text that stands in one document alone."""
+    tokens = texts.select("text", "a", "b", "leaf", F.posexplode(_tokens("line")).alias("at", "token")).where(F.length("token") >= length)
+    tokens = tokens.withColumn("slot", F.xxhash64("leaf", "at", "token"))
+    constant = tokens.groupBy("slot").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("slot")
+    return tokens.where("a = b").select("text", "at", "slot").join(constant, "slot").select("text", "at")
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """The single texts whose long tokens leave them a chance: whatever else is constant, too few of a failing one's are.
+
+    Chance neighbours share short, common words at most, so their long tokens (counted by the token itself, hence alike in all
+    lines) rule them out exactly, at the cost of part of their tokens.
+    """
+    tokens = _tokens("line")
+    sizes = texts.where("a = b").select("text", "leaf", F.size(tokens).alias("size"), F.size(F.filter(tokens, lambda t: F.length(t) >= LONG)).alias("long"))
+    held = _constants(texts, LONG).groupBy("text").agg(F.count("*").alias("held"))
+    most = F.col("size") - F.col("long") + F.coalesce("held", F.lit(0))
+    return sizes.join(held, "text", "left").where(most >= MIN_CONSTANT * F.col("size"))
+
+
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row key, n, line and template of every line to drop."""
     every = lines(docs, id_col, text_col)
@@ -54,10 +77,10 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     found = _sifted(every, _sieve(leaves)).join(leaves, "leaf")
     shared = settle(found.select(*KEY, "n", "line", "leaf", F.xxhash64("leaf", "line").alias("text")), "lines")
     texts = settle(shared.groupBy("text").agg(F.min("_k1").alias("a"), F.max("_k1").alias("b"), F.first("leaf").alias("leaf"), F.first("line").alias("line")), "texts")
-    tokens = texts.select("text", "a", "b", "leaf", F.posexplode(_tokens("line")).alias("at", "token")).withColumn("slot", F.xxhash64("leaf", "at", "token"))
-    constant = tokens.groupBy("slot").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("slot")
+    # leaves in which every single text fails on its long tokens alone are not looked at further
+    near = _sifted(texts, _sieve(settle(_candidates(texts).select("leaf").distinct(), "candidates")))
+    kept = _constants(near, 0).groupBy("text").agg(F.array_sort(F.collect_list("at")).alias("constants"))
     # a text of two documents is constant throughout; of the others, the tokens are looked up
-    kept = tokens.where("a = b").select("text", "at", "slot").join(constant, "slot").groupBy("text").agg(F.array_sort(F.collect_list("at")).alias("constants"))
     alone = texts.where("a = b").select("text", F.size(_tokens("line")).alias("size")).join(kept, "text").where(F.size("constants") >= MIN_CONSTANT * F.col("size"))
     matched = settle(alone.select("text", "constants").unionByName(texts.where("a <> b").select("text", F.lit(None).cast("array<int>").alias("constants"))), "matched")
     found = shared.drop("leaf").join(matched, "text")
