@@ -121,6 +121,18 @@ def test_keep_one(spark):
     assert ids == sorted([0, None, 2, *range(100, 100 + clean)], key=str)
 
 
+def test_documents_below_the_similarity_stay(spark):
+    r, rows = random.Random(7), []
+    for i in range(20):
+        w = [str(r.getrandbits(30)) for _ in range(300)]
+        v = list(w)
+        for k in range(20, 300, 36):  # 8 edits apart from each other: 40 of 296 shingles, J = 256 / 336 = 0.76
+            v[k] = "x"
+        rows += [(i, " ".join(w)), (100 + i, " ".join(v))]
+    assert all(0.75 < jaccard(rows[k][1], rows[k + 1][1]) < 0.8 for k in range(0, 40, 2))
+    assert simhash.keep_one(frame(spark, rows)).count() == 40
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
     assert simhash.keep_one(frame(spark, [])).collect() == []

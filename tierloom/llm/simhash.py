@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -207,8 +208,8 @@ def _wide(h: np.ndarray) -> bytes:
     return np.packbits((counts @ _BITS).ravel() * 2 > len(h)).tobytes()
 
 
-def sketch(text: str | None, words: int = WORDS) -> tuple[bytes, bytes]:
-    """Fingerprints of the distinct words (the routes) and of the distinct shingles (the sketch) of a text."""
+def hashed_sets(text: str | None, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words and of the distinct shingles of a text, the latter in order."""
     w = (text or "").encode().translate(SPACE_BYTES).split()
     digest = xxhash.xxh3_64_intdigest
     line = b" ".join(w)
@@ -219,7 +220,13 @@ def sketch(text: str | None, words: int = WORDS) -> tuple[bytes, bytes]:
         starts = np.concatenate(([0], ends[:-1] + 1))
         shingles = {digest(line[a:b]) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=False)}
     names = set(map(digest, set(w)))
-    return _wide(np.fromiter(names, np.uint64, len(names))), _wide(np.fromiter(shingles, np.uint64, len(shingles)))
+    return np.fromiter(names, np.uint64, len(names)), np.sort(np.fromiter(shingles, np.uint64, len(shingles)))
+
+
+def sketch(text: str | None, words: int = WORDS) -> tuple[bytes, bytes]:
+    """Fingerprints of the distinct words (the routes) and of the distinct shingles (the sketch) of a text."""
+    names, shingles = hashed_sets(text, words)
+    return _wide(names), _wide(shingles)
 
 
 def bits_apart(similarity: float, errors: float = 0) -> int:
@@ -228,31 +235,56 @@ def bits_apart(similarity: float, errors: float = 0) -> int:
     return round(bits * share + errors * (bits * share * (1 - share)) ** 0.5)
 
 
+def _ratio(similarity: float) -> tuple[int, int]:
+    """The similarity as a fraction, so that whole numbers decide what is similar."""
+    return Fraction(str(similarity)).as_integer_ratio()
+
+
+def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b of nodes whose shingle sets have the similarity. docs: KEY and text; rows: KEY and node."""
+    up, down = _ratio(similarity)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("key")).join(ends, "node", "left_semi")
+    own = docs.join(settle(named.select("key.*", "node"), "named"), KEY).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [hashed_sets(t.as_py(), words)[1].view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = settle(own.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y")).cast("long")
+    return both.where(common * down >= (F.size("x") + F.size("y") - common) * up).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """id, row key and root: components of documents whose shingle sets have the similarity, as their sketches estimate it.
+    """id, row key and root: components of documents whose shingle sets have the similarity. A node is a set of shingles.
 
     A sketch is ROUTES fingerprints wide and estimates the Jaccard similarity of the shingles; it is compared for pairs of
-    which one of ROUTES fingerprints of their distinct words links in its BK-trees. An edit changes one word but
-    `words` shingles, so documents as similar as asked for have almost the same words, and one of the routes links.
+    which one of ROUTES fingerprints of their distinct words links in its BK-trees. The pairs it leaves are candidates:
+    only those whose sets do have the similarity are links.
     """
     own = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
     many = ROUTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sketch(t.as_py(), words) for t in b.column(3)]
-            routes = np.frombuffer(b"".join(f[0] for f in found), ">i8").astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, many * len(found) + 1, many, dtype=np.int32)), pa.array(routes))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], lists, pa.array([f[1] for f in found], pa.binary())], names=["id", *KEY, "routes", "sketch"])
-
-    rows = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, _k1 long, _k2 int, routes array<long>, sketch binary")
-    rows = settle(rows.withColumn("node", F.xxhash64("routes", "sketch")), "sketches")
+            sets = [hashed_sets(t.as_py(), words) for t in b.column(3)]
+            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for _, x in sets], np.uint64).view(np.int64)
+            routes = np.frombuffer(b"".join(_wide(x) for x, _ in sets), ">i8").astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, many * len(sets) + 1, many, dtype=np.int32)), pa.array(routes))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), lists, pa.array([_wide(x) for _, x in sets], pa.binary())], names=["id", *KEY, "node", "routes", "sketch"])
+
+    rows = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, _k1 long, _k2 int, node long, routes array<long>, sketch binary")
+    rows = settle(rows, "sketches")
     distinct = rows.dropDuplicates(["node"])
     masks = _cuts(rows.count(), RADIUS)
     shards = [x for i in range(many) for x in _route(f"_{i}", masks, i * len(masks))]
     routed = distinct.select("node", "sketch", *(F.get("routes", F.lit(i)).alias(f"_{i}") for i in range(many)))
     routed = routed.select("node", "sketch", F.explode(F.array(*shards)).alias("s")).select("node", "sketch", "s.*")
-    roots = components(_joined(_cells(routed), RADIUS, bits_apart(similarity, SLACK)))
+    pairs = settle(_joined(_cells(routed), RADIUS, bits_apart(similarity, SLACK)), "pairs")
+    roots = components(verified(own, rows, pairs, words, similarity))
     return rows.select("id", *KEY, "node").join(roots, "node", "left").select("id", *KEY, F.coalesce("root", "node").alias("root"))
 
 
