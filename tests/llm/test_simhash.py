@@ -133,6 +133,32 @@ def test_documents_below_the_similarity_stay(spark):
     assert simhash.keep_one(frame(spark, rows)).count() == 40
 
 
+def test_block_edits_are_found_like_brute_force(spark, monkeypatch):
+    r, rows = random.Random(8), []
+    common = [str(r.getrandbits(30)) for _ in range(40)]
+    for i in range(40):
+        w = common[: r.choice([0, 0, 40])] + [str(r.getrandbits(30)) for _ in range(r.choice([4, 12, 60, 300]))]
+        rows.append((10 * i, " ".join(w)))
+        for k in range(1, 4):  # a block appended, cut short, put before
+            n = round(len(w) * r.uniform(0.02, 0.3))
+            block = [str(r.getrandbits(30)) for _ in range(n)]
+            rows.append((10 * i + k, " ".join((w + block, w[: len(w) - n], block + w)[k - 1])))
+    up = {i: i for i, _ in rows}
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+
+    for a, t in rows:
+        for b, v in rows:
+            if a < b and jaccard(t, v) >= 0.8:
+                up[max(top(a), top(b))] = min(top(a), top(b))
+    assert 40 < len({top(a) for a, _ in rows}) < 120
+    for cell in (512, 2):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        ids = {x.doc_id for x in simhash.keep_one(frame(spark, rows)).collect()}
+        assert ids == {top(a) for a, _ in rows}
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
     assert simhash.keep_one(frame(spark, [])).collect() == []

@@ -37,6 +37,8 @@ WORDS, SIMILARITY, ROUTES = 5, 0.8, 8
 SLACK = 1.0
 #: Fingerprints of a chunk of an oversized shard; mean shard load above which one more block is cut.
 CELL, LOAD = 512, 32
+#: Buckets of the shingle counts that order the prefixes, the share of documents counted, and pairs looked at at once.
+BUCKETS, COUNTED, SLAB = 1 << 20, 8, 1 << 22
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _COLUMN = (np.arange(8) * 256)[None, :]
 
@@ -258,15 +260,82 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, sim
     return both.where(common * down >= (F.size("x") + F.size("y") - common) * up).select("a", "b")
 
 
+def _counts(own: DataFrame, words: int) -> np.ndarray:
+    """Shingles by bucket of their hash in a share of the documents. It only orders shingles: any order finds the same pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                n += 0 if t.as_py() is None else np.bincount((hashed_sets(t.as_py(), words)[1] % np.uint64(BUCKETS)).view(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+
+    some = own.where(F.pmod("_k1", F.lit(COUNTED)) == 0).select("text")
+    found = some.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, up: int, down: int) -> np.ndarray:
+    """The rarest shingles of a set, rarest first, so many that sets of the similarity up / down have one of theirs in common."""
+    n = len(shingles)
+    order = np.lexsort((shingles, counts[(shingles % np.uint64(BUCKETS)).view(np.int64)]))
+    return shingles[order[: n - -(-up * n // down) + 1]] if n else shingles
+
+
+def _candidates(units: DataFrame, up: int, down: int) -> DataFrame:
+    """units: node, label, size, prefix -> pairs a, b of nodes of different labels with a shingle in both prefixes.
+
+    Left out is only what cannot have the similarity: by the sizes, or as too few shingles follow the common one.
+    """
+    routed = units.select("node", "label", "size", F.posexplode("prefix").alias("pos", "token"))
+    sampled = routed.where(F.pmod("node", F.lit(COUNTED)) == 0).groupBy("token").count().where(F.col("count") * COUNTED > 2 * CELL)
+    large = settle(sampled.select("token", F.ceil(F.col("count") * COUNTED / CELL).cast("int").alias("chunks")), "large")
+    dealt = routed.join(large, "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    items = F.collect_list(F.struct("node", "label", "size", "pos", "i")).alias("items")
+    cells = dealt.groupBy("token", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high")).agg(items)
+    cells = cells.where(F.size("items") > 1).select("items", (F.col("low") < F.col("high")).alias("two"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column, two = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
+            node, label, size, pos, chunk = (column.values.field(k).to_numpy() for k in range(5))
+            offsets = column.offsets.to_numpy()
+            count = np.diff(offsets)
+            for n in np.unique(count).tolist():
+                x, y = np.triu_indices(n, 1)
+                these, step = np.flatnonzero(count == n), max(1, SLAB // len(x))
+                for k in range(0, len(these), step):
+                    own = these[k : k + step]
+                    at = offsets[own][:, None] + np.arange(n)
+                    i, j = at[:, x].ravel(), at[:, y].ravel()
+                    keep = (label[i] != label[j]) & ((chunk[i] != chunk[j]) == np.repeat(two[own], len(x)))
+                    i, j = i[keep], j[keep]
+                    u, v = size[i].astype(np.int64), size[j].astype(np.int64)
+                    keep = np.minimum(u, v) * down >= np.maximum(u, v) * up
+                    keep &= np.minimum(u - pos[i], v - pos[j]) * (up + down) >= up * (u + v)
+                    i, j = node[i[keep]], node[j[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """id, row key and root: components of documents whose shingle sets have the similarity. A node is a set of shingles.
 
-    A sketch is ROUTES fingerprints wide and estimates the Jaccard similarity of the shingles; it is compared for pairs of
-    which one of ROUTES fingerprints of their distinct words links in its BK-trees. The pairs it leaves are candidates:
-    only those whose sets do have the similarity are links.
+    Most links are found by sketches: a sketch is ROUTES fingerprints wide and estimates the Jaccard similarity of the
+    shingles; it is compared for pairs of which one of ROUTES fingerprints of their distinct words links in its BK-trees.
+    These only join large groups early. Whatever they miss is found without loss: two sets of the similarity have a shingle
+    in common among the rarest of each (the prefix), and pairs that do and are not joined yet are all looked at. Only pairs
+    whose sets do have the similarity are links, by whichever way they were found.
     """
     own = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
-    many = ROUTES
+    many, (up, down) = ROUTES, _ratio(similarity)
+    counts = own.sparkSession.sparkContext.broadcast(_counts(own, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,9 +343,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for _, x in sets], np.uint64).view(np.int64)
             routes = np.frombuffer(b"".join(_wide(x) for x, _ in sets), ">i8").astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, many * len(sets) + 1, many, dtype=np.int32)), pa.array(routes))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), lists, pa.array([_wide(x) for _, x in sets], pa.binary())], names=["id", *KEY, "node", "routes", "sketch"])
+            sketches, sizes = pa.array([_wide(x) for _, x in sets], pa.binary()), pa.array([len(x) for _, x in sets], pa.int32())
+            rarest = pa.array([prefix(x, counts.value, up, down).view(np.int64) for _, x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), lists, sketches, sizes, rarest], names=["id", *KEY, "node", "routes", "sketch", "size", "prefix"])
 
-    rows = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, _k1 long, _k2 int, node long, routes array<long>, sketch binary")
+    kind = own.schema["id"].dataType.simpleString()
+    rows = own.mapInArrow(run, f"id {kind}, _k1 long, _k2 int, node long, routes array<long>, sketch binary, size int, prefix array<long>")
     rows = settle(rows, "sketches")
     distinct = rows.dropDuplicates(["node"])
     masks = _cuts(rows.count(), RADIUS)
@@ -284,7 +356,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     routed = distinct.select("node", "sketch", *(F.get("routes", F.lit(i)).alias(f"_{i}") for i in range(many)))
     routed = routed.select("node", "sketch", F.explode(F.array(*shards)).alias("s")).select("node", "sketch", "s.*")
     pairs = settle(_joined(_cells(routed), RADIUS, bits_apart(similarity, SLACK)), "pairs")
-    roots = components(verified(own, rows, pairs, words, similarity))
+    links = settle(verified(own, rows, pairs, words, similarity), "links")
+    labels = components(links).select("node", F.col("root").alias("label"))
+    units = distinct.select("node", "size", "prefix").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = settle(_candidates(settle(units, "units"), up, down), "rest")
+    roots = components(links.unionByName(verified(own, rows, rest, words, similarity)))
     return rows.select("id", *KEY, "node").join(roots, "node", "left").select("id", *KEY, F.coalesce("root", "node").alias("root"))
 
 
