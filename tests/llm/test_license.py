@@ -52,5 +52,12 @@ def test_notice_with_a_changed_word_is_still_found():
     assert index.scan(text.encode().split())[5] == "mit"
 
 
+def test_notice_without_its_rarest_words_is_still_found():
+    idf = dict.fromkeys("redistribution and use in source binary forms with or without modification are permitted".split(), 5.0)
+    idf |= dict.fromkeys("provided that the following conditions met".split(), 6.0)
+    text = "redistribution and use in source and binary forms with or without modification are permitted"
+    assert lic.Index(idf).scan(text.encode().split())[5] == "bsd"
+
+
 def test_empty(frame):
     assert lic.scan(frame([])).collect() == []

@@ -1,10 +1,10 @@
 """License scans with a positional index of rare tokens.
 
 Every template is a run of words with a mandatory key phrase. Document frequencies of all template words are counted over all
-documents. A file is looked up by its rarest licence words: the `ANCHORS` highest-IDF words of each template that stand in the
-file give, by their postings, the places where the template may start; places on which the anchors agree are kept, the key
-phrase is verified there word by word, and the score is the share of the template's IDF mass found in place. Key phrases
-are templates of their own whose every word must stand, so that each place of a phrase is found by its rarest word.
+documents. Each template is looked up by the highest-IDF word of its key phrase, which no labelled file lacks: its postings
+give every place where the template may start. The key phrase is verified there word by word, and the score is the share of
+the template's IDF mass found in place, so that no other word of a notice has to stand. Key phrases of `BASE` are templates
+of their own whose every place is counted.
 
 Null and empty texts have no words, no labels and score 0; rows are independent, so repeated rows give equal rows.
 """
@@ -40,7 +40,7 @@ TEMPLATES = [
 ]
 #: Phrases whose every place is counted.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-ANCHORS, COVER = 3, 0.5
+COVER = 0.5
 
 FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -50,7 +50,7 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Index:
-    """Templates by their rarest words. idf: a word's weight; words without one weigh most."""
+    """Templates by the rarest word of their key phrase. idf: a word's weight; words without one weigh most."""
 
     def __init__(self, idf: dict[str, float], templates=TEMPLATES, base=BASE) -> None:
         most = max(idf.values(), default=1.0)
@@ -62,26 +62,20 @@ class Index:
             whole = sum(map(self.idf, w))
             number, is_base = len(self.items), text in base
             self.items.append((label, w, k, at, whole, is_base))
-            rare = sorted(set(k if is_base else w), key=lambda x: (-self.idf(x), x))
-            for x in rare[: 1 if is_base else ANCHORS]:
-                self.postings[x] += [(number, i) for i, y in enumerate(w) if y == x]
-        self.need = [1 if x[5] else min(2, ANCHORS, len(set(x[1]))) for x in self.items]
+            rare = min(k, key=lambda x: (-self.idf(x), x))
+            self.postings[rare].append((number, at + k.index(rare)))
         self.anchors = frozenset(self.postings)
 
     def scan(self, w: list[bytes]) -> tuple:
         """The FOUND columns of a file of words w."""
         if self.anchors.isdisjoint(w):
             return len(w), 0, None, None, "", "", 0.0
-        starts: dict[tuple[int, int], set] = defaultdict(set)
-        for i, x in enumerate(w):
-            if x in self.anchors:
-                for number, at in self.postings[x]:
-                    starts[number, i - at].add(x)
+        starts = [(number, i - at) for i, x in enumerate(w) if x in self.anchors for number, at in self.postings[x]]
         places, base, labels, score = [], set(), set(), 0.0
-        for (number, start), agree in starts.items():
+        for number, start in starts:
             label, text, key, at, whole, is_base = self.items[number]
             k = start + at
-            if len(agree) < self.need[number] or k < 0 or w[k : k + len(key)] != key:
+            if k < 0 or w[k : k + len(key)] != key:
                 continue
             if is_base:
                 places.append(start)
