@@ -27,7 +27,7 @@ def plain(docs, items):
                 for s in range(len(w) - n + 1):
                     if w[s : s + n] == v[a : a + n]:
                         hit |= set(range(s, s + n))
-                        ids.add(str(name))
+                        ids.add("" if name is None else str(name))
         out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()))
     return sorted(out, key=str)
 
@@ -49,7 +49,7 @@ def made(seed=1):
 
 
 def found(spark, frame, docs, items):
-    bench = spark.createDataFrame([(a, b, "x", "y") for a, b in items if a is not None], BENCH)
+    bench = spark.createDataFrame([(a, b, "x", "y") for a, b in items], BENCH)
     table = frame(docs)
     got = d.scan(table, bench).select(*d.KEY, "n_hit", "items")
     own = table.select("doc_id", *d.row_key("doc_id", "text"), F.size(d.alnum_words(F.col("text"))).alias("n")).join(got, d.KEY, "left")
@@ -64,7 +64,7 @@ def test_equals_brute_force(spark, frame, edge, monkeypatch, small):
         monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
     docs, items = made()
     docs += edge
-    assert found(spark, frame, docs, items) == plain(docs, [i for i in items if i[0] is not None])
+    assert found(spark, frame, docs, items) == plain(docs, items)
 
 
 def test_clean_keeps_rows_and_columns(spark, frame, edge):
@@ -80,3 +80,13 @@ def test_empty_tables(spark, frame):
     none = spark.createDataFrame([], BENCH)
     assert d.clean(frame([]), none).count() == 0
     assert d.clean(frame([(1, "a")]), none).count() == 1
+
+
+def test_query_without_ansi_counts_no_items_of_clean_documents(spark):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        got = d.op9_decontaminate(spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert {r.n_items for r in got if not r.contaminated} == {0} and all(r.n_items > 0 for r in got if r.contaminated)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -41,13 +43,29 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 KEY = ["_k1", "_k2"]
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType | T.VariantType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
+def whole_key(docs: DataFrame) -> Column:
+    """64 bits of all columns (maps and variants as JSON text), to tell rows of one key apart."""
+    of = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return F.xxhash64(*of).alias("_k3")
+
+
+WHOLE = [*KEY, "_k3"]
+
 _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares: spark.checkpoint.dir, or, where that is unset (tests), a temporary one of this application."""
+    """The folder the cluster shares: spark.checkpoint.dir. Where that is unset, a local master (tests) gets a temporary one; others must set it."""
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIR:
             _OWN_DIR[app] = tempfile.mkdtemp(prefix="tierloom-")
@@ -62,6 +80,49 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most buckets of a sieve (256 bits each: 4 MB of bits), and most keys for one: with more it would let nearly all rows pass.
+SIEVE_BUCKETS, SIEVE_KEYS = 1 << 17, 1 << 23
+
+
+def sieved(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with _hit: false only if the row's key (a long, a hash) is not among keys (settled, with a column of the same name).
+
+    keys are marked in a bitmap of about 16 bits a key. Its size is bounded, so it is broadcast; beyond SIEVE_KEYS every
+    row is a hit. It saves shuffles and decides nothing: a join must follow.
+    """
+    n = keys.count()
+    if n > SIEVE_KEYS:
+        return rows.withColumn("_hit", F.lit(True))
+    buckets = min(SIEVE_BUCKETS, max(16, 1 << (n // 16).bit_length()))
+    at = f"cast({key} & {buckets - 1} as int)"
+    bit = keys.selectExpr(f"{at} AS _bucket", f"cast(shiftrightunsigned({key}, 32) & 255 as int) AS _pos")
+    words = [F.bit_or(F.expr(f"CASE WHEN _pos DIV 64 = {i} THEN shiftleft(1L, _pos & 63) ELSE 0L END")).alias(f"_w{i}") for i in range(4)]
+    word = f"CASE cast(shiftrightunsigned({key}, 38) & 3 as int) WHEN 0 THEN _w0 WHEN 1 THEN _w1 WHEN 2 THEN _w2 ELSE _w3 END"
+    hit = F.expr(f"coalesce(shiftright({word}, cast(shiftrightunsigned({key}, 32) & 63 as int)) & 1 = 1, false)")
+    marked = rows.withColumn("_bucket", F.expr(at)).join(F.broadcast(bit.groupBy("_bucket").agg(*words)), "_bucket", "left")
+    return marked.withColumn("_hit", hit).drop("_bucket", "_w0", "_w1", "_w2", "_w3")
+
+
+def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among keys, and by chance a few others."""
+    return sieved(rows, keys, key).where("_hit").drop("_hit")
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[Column], twice: DataFrame | None = None) -> DataFrame:
+    """docs but the rows whose keys (the first a hash, _k1) are in gone; rows that are not hit by the sieve are not shuffled.
+
+    twice: keys of rows that stand more than once, of which one is to stay.
+    """
+    names = gone.columns
+    gone = settle(gone.distinct(), "gone")
+    hits = gone if twice is None else gone.unionByName(settle(twice, "twice"))
+    own = sieved(docs.select(F.struct("*").alias("_row"), *keys), hits, "_k1")
+    near = own.where("_hit").drop("_hit").join(gone, names, "left_anti")
+    if twice is not None:
+        near = near.dropDuplicates(names)
+    return own.where("NOT _hit").select("_row.*").unionByName(near.select("_row.*"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

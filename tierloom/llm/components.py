@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
-
-
 def _star(pairs: DataFrame, keep, own: bool) -> DataFrame:
     """pairs u, v: joins the neighbours of each u to the least of them (u included).
 
@@ -25,17 +21,14 @@ def _star(pairs: DataFrame, keep, own: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges a, b (long) -> node, root: every node of an edge and the smallest node it reaches.
+    """edges a, b (long) -> node, root: every node of an edge and the smallest node it reaches, settled.
 
-    Each round writes its edges to the shared folder; the loop ends when a round changes nothing. No edges: no rows.
+    Each round writes its edges to the shared folder; the loop ends when all edges are rays of stars, that is when no node is
+    both the larger end of an edge and the smaller end of another. No edges: no rows.
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(edges)
-    while mark[0]:
+    while not edges.select("a").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty() or not edges.groupBy("a").count().where("count > 1").isEmpty():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = settle(_star(both, F.col("v") > F.col("u"), False).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "large")
         edges = settle(_star(large, F.lit(True), True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return settle(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct(), "components")

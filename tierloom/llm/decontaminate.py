@@ -6,7 +6,7 @@ prefix word give candidates; the word's position in the window fixes where the w
 document's length must leave room for it (length bound), and the words there are compared one by one.
 
 Nulls have no words, and empty documents get zero counts. Rows that repeat id and text are one document and give equal
-rows. Items without words are ignored; an empty benchmark leaves every document clean.
+rows. Items without words are ignored, a null item id is an empty one; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, LOWER, UPPER, WORD_SEP, alnum_words, read, row_key, settle
+from .common import KEY, LOWER, UPPER, WORD_SEP, alnum_words, read, row_key, settle, without
 
 WINDOW = 10
 #: Windows are broadcast while their words take no more bytes and rows than this; beyond it the join shuffles.
@@ -23,7 +23,7 @@ BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 400_000
 
 def item_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The distinct windows of all items: window (array), items (the ids that have it, as strings)."""
-    items = bench.select(F.col(item_col).cast("string").alias("item"), alnum_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), alnum_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - (window - 1), F.lit(1)))).alias("at")
     return items.select("item", "words", at).select(F.col("item"), F.slice("words", F.col("at"), window).alias("window")).groupBy("window").agg(F.collect_set("item").alias("items"))
 
@@ -81,9 +81,7 @@ def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents no window occurs in, with their own columns."""
-    found = scan(docs, bench, id_col, text_col).select(*KEY)
-    own = docs.select(F.struct("*").alias("_row"), *row_key(id_col, text_col))
-    return own.join(found, KEY, "left_anti").select("_row.*")
+    return without(docs, matches(docs, bench, id_col, text_col).select(*KEY), row_key(id_col, text_col))
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -94,7 +92,7 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
@@ -102,7 +100,7 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_SEP.replace("[", "[^", 1)}') AS w FROM documents),
-bw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_SEP.replace("[", "[^", 1)}') AS w FROM benchmark),
+bw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_SEP.replace("[", "[^", 1)}') AS w FROM benchmark),
 win AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') AS g
         FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS i FROM bw WHERE len(w) > 0)),
 occ AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g

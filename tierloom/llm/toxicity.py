@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, WORD_BYTES, id_bucket, read, row_key, settle
+from .common import KEY, WORD_BYTES, id_bucket, read, row_key, settle, without
 
 SAMPLE, SEED, HASH_BITS = 16_000, 5, 22
 SUPPORT, GAIN, MOST_FEATURES = 3, 6.6, 8192
@@ -196,9 +196,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, with their own columns."""
     scored = score(docs, train(docs, labels, id_col, text_col), id_col, text_col)
-    bad = settle(scored.where(F.col("score") >= threshold).select(*KEY), "toxic")
-    own = docs.select(F.struct("*").alias("_row"), *row_key(id_col, text_col))
-    return own.join(bad.distinct(), KEY, "left_anti").select("_row.*")
+    return without(docs, scored.where(F.col("score") >= threshold).select(*KEY), row_key(id_col, text_col))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
