@@ -161,6 +161,7 @@ def test_block_edits_are_found_like_brute_force(spark, monkeypatch):
                 up[max(top(a), top(b))] = min(top(a), top(b))
     assert 40 < len({top(a) for a, _ in rows}) < 120
     monkeypatch.setattr(simhash, "CELL", 2)
+    monkeypatch.setattr(simhash, "FEW", 3)
     assert {x.doc_id for x in simhash.keep_one(frame(spark, rows)).collect()} == {top(a) for a, _ in rows}
 
 

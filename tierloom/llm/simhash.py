@@ -39,8 +39,9 @@ WORDS, SIMILARITY = 5, 0.8
 CELL, LOAD = 512, 32
 #: Buckets of the shingle counts that order the prefixes, the share of documents counted, and pairs looked at at once.
 BUCKETS, COUNTED, SLAB = 1 << 20, 8, 1 << 16
-#: Bits of a set's bitmap for each of its shingles (at least, and less than twice as many).
-DENSITY = 16
+#: Bits of a set's bitmap for each of its shingles (at least, and less than twice as many), and nodes of a rare shingle up to
+#: which their pairs are named before any bitmap is fetched; more carry their bitmaps along.
+DENSITY, FEW = 8, 32
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _COLUMN = (np.arange(8) * 256)[None, :]
 
@@ -207,7 +208,7 @@ def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
 
 def bitmap(shingles: np.ndarray) -> bytes:
     """A set's bitmap: one bit a shingle, in a power of two of bits that follows the set's size."""
-    wide = DENSITY << max(2, len(shingles).bit_length() - 1)
+    wide = max(64, DENSITY << max(0, len(shingles).bit_length() - 1))
     bits = np.zeros(wide, np.uint8)
     bits[(shingles & np.uint64(wide - 1)).view(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -289,11 +290,20 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, words: int, up: int, d
     return own.mapInArrow(run, f"id {kind}, _k1 long, _k2 int, _k3 long, node long, fp long, size int, bits binary, prefix array<long>")
 
 
+def _alike(a: str, b: str, up: int, down: int):
+    """Sizes that sets of the similarity can have."""
+    return F.least(a, b) * down >= F.greatest(a, b) * up
+
+
 def plausible(rows: DataFrame, pairs: DataFrame, up: int, down: int) -> DataFrame:
     """The pairs a, b of nodes whose sizes and bitmaps allow the similarity."""
     ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    known = settle(sifted(rows.select("node", "size", "bits"), ends, "node").join(ends, "node").dropDuplicates(["node"]), "bitmaps")
-    side = lambda x: known.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits"))
+    sizes = sifted(rows.select("node", "size"), ends, "node").join(ends, "node").groupBy("node").agg(F.min("size").alias("size"))
+    sizes = settle(sizes, "sizes")
+    pairs = pairs.join(sizes.toDF("a", "a_size"), "a").join(sizes.toDF("b", "b_size"), "b").where(_alike("a_size", "b_size", up, down))
+    pairs = settle(pairs, "pairs")
+    ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    known = settle(sifted(rows.select("node", "bits"), ends, "node").join(ends, "node").dropDuplicates(["node"]), "bitmaps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,7 +313,7 @@ def plausible(rows: DataFrame, pairs: DataFrame, up: int, down: int) -> DataFram
             keep = pa.array(Bitmaps(one("a_bits", "b_bits"), sizes, up, down).may(np.arange(n), np.arange(n, 2 * n)))
             yield from t.select(["a", "b"]).filter(keep).combine_chunks().to_batches()
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(known.toDF("a", "a_bits"), "a").join(known.toDF("b", "b_bits"), "b").mapInArrow(run, "a long, b long")
 
 
 def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, up: int, down: int) -> DataFrame:
@@ -324,44 +334,67 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_col: str, te
     return both.where(common * down >= (F.size("x") + F.size("y") - common) * up).select("a", "b")
 
 
+def _pairs(column: pa.ListArray, two: np.ndarray, up: int, down: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes i, j of the items of each cell that may be of the similarity: of different labels, by size and by place in the prefix.
+
+    two: whether a cell is made of two chunks, of which only pairs across are its own.
+    """
+    label, size, pos, chunk = (column.values.field(k).to_numpy() for k in range(1, 5))
+    offsets = column.offsets.to_numpy()
+    count = np.diff(offsets)
+    for n in np.unique(count).tolist():
+        x, y = np.triu_indices(n, 1)
+        these, step = np.flatnonzero(count == n), max(1, 16 * SLAB // max(1, len(x)))
+        for k in range(0, len(these), step):
+            own = these[k : k + step]
+            at = offsets[own][:, None] + np.arange(n)
+            i, j = at[:, x].ravel(), at[:, y].ravel()
+            keep = (label[i] != label[j]) & ((chunk[i] != chunk[j]) == np.repeat(two[own], len(x)))
+            i, j = i[keep], j[keep]
+            u, v = size[i].astype(np.int64), size[j].astype(np.int64)
+            keep = np.minimum(u, v) * down >= np.maximum(u, v) * up
+            keep &= np.minimum(u - pos[i], v - pos[j]) * (up + down) >= up * (u + v)  # holds at the first shingle in common
+            yield i[keep], j[keep]
+
+
 def _rest(rows: DataFrame, routed: DataFrame, labels: DataFrame, up: int, down: int) -> DataFrame:
     """Pairs a, b of nodes that share a token of their prefixes, are of different components so far and may have the similarity.
 
-    routed: token, node. A cell holds the nodes of one token, or two chunks of them; its pairs are compared by bitmaps there.
+    routed: token, node, size, pos. A cell holds the nodes of one token, or two chunks of them.
     """
-    units = routed.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
+    units = routed.join(labels, "node", "left").select("token", "node", "size", "pos", F.coalesce("label", "node").alias("label"))
     units = settle(units, "units")
-    mixed = units.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b")
-    mixed = settle(mixed.select("token", F.when(F.col("n") > 2 * CELL, F.ceil(F.col("n") / CELL)).otherwise(1).cast("int").alias("chunks")), "mixed")
-    units = settle(units.join(mixed, "token"), "units")
-    ends = settle(units.select("node").distinct(), "ends")
-    known = settle(sifted(rows.select("node", "size", "bits"), ends, "node").join(ends, "node").dropDuplicates(["node"]), "bitmaps")
-    dealt = units.join(known, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    mixed = units.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b").select("token", "n")
+    units = settle(sifted(units, settle(mixed, "mixed"), "token").join(mixed, "token"), "units")
+    item = ["node", "label", "size", "pos", "i"]
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = b.column(0).values.field(0).to_numpy()
+            for i, j in _pairs(b.column(0), np.zeros(b.num_rows, bool), up, down):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+    cells = units.where(F.col("n") <= FEW).withColumn("i", F.lit(0)).groupBy("token").agg(F.collect_list(F.struct(*item)).alias("items"))
+    few = plausible(rows, settle(cells.select("items").mapInArrow(name, "a long, b long").distinct(), "few"), up, down)
+    many = units.where(F.col("n") > FEW).withColumn("chunks", F.when(F.col("n") > 2 * CELL, F.ceil(F.col("n") / CELL)).otherwise(1).cast("int"))
+    ends = settle(many.select("node").distinct(), "ends")
+    known = settle(sifted(rows.select("node", "bits"), ends, "node").join(ends, "node").dropDuplicates(["node"]), "bitmaps")
+    dealt = many.join(known, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    items = F.collect_list(F.struct("node", "label", "size", "i", "bits")).alias("items")
-    cells = dealt.groupBy("token", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high")).agg(items)
+    cells = dealt.groupBy("token", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high")).agg(F.collect_list(F.struct(*item, "bits")).alias("items"))
     cells = cells.where(F.size("items") > 1).select("items", (F.col("low") < F.col("high")).alias("two"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column, two = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
-            node, label, size, chunk = (column.values.field(k).to_numpy() for k in range(4))
-            maps, offsets = Bitmaps(column.values.field(4), size, up, down), column.offsets.to_numpy()
-            count = np.diff(offsets)
-            for n in np.unique(count).tolist():
-                x, y = np.triu_indices(n, 1)
-                these, step = np.flatnonzero(count == n), max(1, 16 * SLAB // len(x))
-                for k in range(0, len(these), step):
-                    own = these[k : k + step]
-                    at = offsets[own][:, None] + np.arange(n)
-                    i, j = at[:, x].ravel(), at[:, y].ravel()
-                    keep = (label[i] != label[j]) & ((chunk[i] != chunk[j]) == np.repeat(two[own], len(x)))
-                    i, j = i[keep], j[keep]
-                    keep = maps.may(i, j)
-                    i, j = node[i[keep]], node[j[keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+            node, size = column.values.field(0).to_numpy(), column.values.field(2).to_numpy()
+            maps = Bitmaps(column.values.field(5), size, up, down)
+            for i, j in _pairs(column, two, up, down):
+                keep = maps.may(i, j)
+                i, j = node[i[keep]], node[j[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return few.unionByName(cells.mapInArrow(compare, "a long, b long")).distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -372,14 +405,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     paired with the least node of every such shingle. The pairs that bitmaps and then the whole sets confirm are links, and
     join most of each group at a cost in proportion to its size. What still shares a rare shingle across components is then
     compared pair by pair, by bitmaps, in cells of bounded size: no link is lost, and none is taken that is not verified.
-    Rows of one set are never paired. The last step is quadratic in the unjoined nodes of one rare shingle, at 16 to 32 bits
-    a shingle; it emits only pairs that may be links.
+    Rows of one set are never paired. The last step is quadratic in the unjoined nodes of one rare shingle, at 8 to 16 bits
+    a shingle; beyond FEW nodes it emits only pairs that may be links.
     """
     up, down = _ratio(similarity)
     rows = settle(shingled(docs, id_col, text_col, words, up, down), "shingled")
     check = lambda pairs, name: settle(verified(docs, rows, pairs, id_col, text_col, words, up, down), name)
     # nodes by rare shingle; a shingle of one node alone, however many copies it has, is left out
-    each = rows.select("node", F.explode("prefix").alias("token"))
+    each = rows.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
     shared = settle(each.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token", "low"), "shared")
     routed = settle(sifted(each, shared, "token").join(shared, "token"), "routed")
     prints = settle(rows.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "prints")
@@ -390,7 +423,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = settle(trees.unionByName(same).unionByName(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     found = components(check(settle(plausible(rows, pairs, up, down), "plausible"), "links"))
     labels = found.select("node", F.col("root").alias("label"))
-    rest = settle(_rest(rows, routed.select("token", "node").distinct(), labels, up, down), "rest")
+    rest = settle(_rest(rows, routed.drop("low").distinct(), labels, up, down), "rest")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(check(rest, "links")))
     return rows.select("id", *WHOLE, "node").join(roots, "node", "left").select("id", *WHOLE, F.coalesce("root", "node").alias("root"))
 
