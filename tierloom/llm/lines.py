@@ -1,10 +1,11 @@
 """Line dedup with a log-template tree, in DataFrame functions only.
 
-A line descends a tree of fixed depth: by its number of tokens, then by its `DEPTH` leading tokens, where a token with a digit
-counts as a variable field. Lines of one leaf that stand in fewer than `MIN_DOCS` documents are unique. In the other leaves a
-token is constant at its position if it stands there in lines of two documents or more, and a variable field otherwise. A line
-matches its leaf's templates if at least `MIN_CONSTANT` of its tokens are constant; its template is the line with variable
-fields masked. A matching line is recurring, and is dropped from every document.
+A line descends a tree of fixed depth: by its number of tokens, then by its `DEPTH` leading tokens; a token with a digit is a
+variable field from the start. Leaves whose lines stand in fewer than `MIN_DOCS` documents are left alone. In the others a token
+is constant at its position if lines of `MIN_DOCS` documents have it there, and a variable field otherwise. A line's template is
+the line with its variable fields masked. It is recurring, and its lines are dropped from every document, if `MIN_CONSTANT` of
+its tokens are constant and lines of `MIN_DOCS` documents have this very template; so is a line that stands word for word in
+`MIN_DOCS` documents, whatever its digits.
 
 Lines are split at line feeds; tokens at spaces and tabs. Blank lines stay. Null and empty texts have no lines. Rows equal in id
 and text are one document and lose the same lines. Results do not depend on the order of rows, so ties need no rule.
@@ -15,79 +16,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, read, row_key, settle
+from .common import KEY, read, row_key, settle, sifted
 
-DEPTH, MIN_DOCS, MIN_CONSTANT = 2, 3, 0.7
+DEPTH, MIN_DOCS, MIN_CONSTANT = 3, 3, 0.7
 MASK = "<*>"
-#: Letters of a token that chance neighbours rarely share.
-LONG = 6
 
 
 def _tokens(line: str) -> Column:
     return F.array_remove(F.split(F.col(line), "[ \t]+"), "")
 
 
+def _masked(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), MASK).otherwise(t))
+
+
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row key, n (the line's number from 0), line and leaf of every line that is not blank."""
     each = docs.where(F.length(text_col) > 0).select(*row_key(id_col, text_col), F.posexplode_outer(F.split(text_col, "\n")).alias("n", "line"))
     each = each.withColumn("tokens", _tokens("line")).where(F.size("tokens") > 0)
-    lead = [F.when(F.get("tokens", F.lit(i)).rlike("[0-9]"), MASK).otherwise(F.get("tokens", F.lit(i))) for i in range(DEPTH)]
-    return each.select(*KEY, "n", "line", F.xxhash64(F.size("tokens"), *lead).alias("leaf"))
-
-
-def _sieve(leaves: DataFrame) -> DataFrame:
-    """A bitmap of 2 ** 24 bits that has every leaf's bit set: bucket (65,536 at most) and four words of bits each."""
-    bit = leaves.selectExpr("cast(leaf & 65535 as int) AS bucket", "cast(shiftrightunsigned(leaf, 16) & 255 as int) AS pos")
-    words = [F.bit_or(F.expr(f"CASE WHEN pos DIV 64 = {i} THEN shiftleft(1L, pos & 63) ELSE 0L END")).alias(f"w{i}") for i in range(4)]
-    return bit.groupBy("bucket").agg(*words)
-
-
-def _sifted(every: DataFrame, sieve: DataFrame) -> DataFrame:
-    """The lines whose leaf's bit is set: all of the leaves' lines and, by chance, a few others. The sieve's size is fixed, so it is broadcast."""
-    bit = F.expr("shiftright(CASE cast(shiftrightunsigned(leaf, 22) & 3 as int) WHEN 0 THEN w0 WHEN 1 THEN w1 WHEN 2 THEN w2 ELSE w3 END, cast(shiftrightunsigned(leaf, 16) & 63 as int)) & 1 = 1")
-    own = every.withColumn("bucket", F.expr("cast(leaf & 65535 as int)"))
-    return own.join(F.broadcast(sieve), "bucket").where(bit).select(*every.columns)
-
-
-def _constants(texts: DataFrame, length: int) -> DataFrame:
-    """text, at: the constant tokens of at least that length of each text that stands in one document alone."""
-    tokens = texts.select("text", "a", "b", "leaf", F.posexplode(_tokens("line")).alias("at", "token")).where(F.length("token") >= length)
-    tokens = tokens.withColumn("slot", F.xxhash64("leaf", "at", "token"))
-    constant = tokens.groupBy("slot").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("slot")
-    return tokens.where("a = b").select("text", "at", "slot").join(constant, "slot").select("text", "at")
-
+    lead = F.array_join(_masked(F.slice("tokens", 1, DEPTH)), " ")
+    return each.select(*KEY, "n", "line", F.xxhash64(F.size("tokens"), lead).alias("leaf"))
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """The single texts whose long tokens leave them a chance: whatever else is constant, too few of a failing one's are.
 
-    Chance neighbours share short, common words at most, so their long tokens (counted by the token itself, hence alike in all
-    lines) rule them out exactly, at the cost of part of their tokens.
-    """
-    tokens = _tokens("line")
-    sizes = texts.where("a = b").select("text", "leaf", F.size(tokens).alias("size"), F.size(F.filter(tokens, lambda t: F.length(t) >= LONG)).alias("long"))
-    held = _constants(texts, LONG).groupBy("text").agg(F.count("*").alias("held"))
-    most = F.col("size") - F.col("long") + F.coalesce("held", F.lit(0))
-    return sizes.join(held, "text", "left").where(most >= MIN_CONSTANT * F.col("size"))
+def _recurring(rows: DataFrame, name: str) -> DataFrame:
+    """The values of a column that stand in MIN_DOCS documents or more."""
+    return rows.select(name, *KEY).distinct().groupBy(name).count().where(F.col("count") >= MIN_DOCS).select(name)
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row key, n, line and template of every line to drop."""
     every = lines(docs, id_col, text_col)
-    leaves = settle(every.select("leaf", *KEY).distinct().groupBy("leaf").count().where(F.col("count") >= MIN_DOCS).select("leaf"), "leaves")
-    found = _sifted(every, _sieve(leaves)).join(leaves, "leaf")
-    shared = settle(found.select(*KEY, "n", "line", "leaf", F.xxhash64("leaf", "line").alias("text")), "lines")
-    texts = settle(shared.groupBy("text").agg(F.min("_k1").alias("a"), F.max("_k1").alias("b"), F.first("leaf").alias("leaf"), F.first("line").alias("line")), "texts")
-    # leaves in which every single text fails on its long tokens alone are not looked at further
-    near = _sifted(texts, _sieve(settle(_candidates(texts).select("leaf").distinct(), "candidates")))
-    kept = _constants(near, 0).groupBy("text").agg(F.array_sort(F.collect_list("at")).alias("constants"))
-    # a text of two documents is constant throughout; of the others, the tokens are looked up
-    alone = texts.where("a = b").select("text", F.size(_tokens("line")).alias("size")).join(kept, "text").where(F.size("constants") >= MIN_CONSTANT * F.col("size"))
-    matched = settle(alone.select("text", "constants").unionByName(texts.where("a <> b").select("text", F.lit(None).cast("array<int>").alias("constants"))), "matched")
-    found = shared.drop("leaf").join(matched, "text")
+    leaves = settle(_recurring(every, "leaf"), "leaves")
+    shared = settle(sifted(every, leaves, "leaf").join(leaves, "leaf").select(*KEY, "n", "line", "leaf", F.xxhash64("leaf", "line").alias("text")), "lines")
+    # a text that recurs word for word is told by its hash alone; its tokens are constant wherever its leaf has them
+    whole = settle(_recurring(shared, "text"), "whole")
+    one = shared.join(whole, "text", "left_semi").groupBy("text").agg(F.min("line").alias("line"), F.min("leaf").alias("leaf"))
+    one = settle(one.select("text", "line", "leaf", _masked(_tokens("line")).alias("tokens")), "one")
+    rest = settle(shared.join(whole, "text", "left_anti").select(*KEY, "text", "line", "leaf"), "rest")
+    slot = lambda df, *c: df.select(*c, F.posexplode("tokens").alias("at", "token")).where(F.col("token") != MASK).withColumn("slot", F.xxhash64("leaf", "at", "token"))
+    held = slot(rest.select(*KEY, "leaf", _masked(_tokens("line")).alias("tokens")), *KEY, "leaf").select("slot", *KEY)
+    constant = slot(one, "leaf").select("slot").unionByName(_recurring(held, "slot")).distinct()
+    texts = rest.groupBy("text").agg(F.min("line").alias("line"), F.min("leaf").alias("leaf")).select("text", "leaf", _masked(_tokens("line")).alias("tokens"))
+    kept = slot(texts, "text", "leaf").join(settle(constant, "constant"), "slot").groupBy("text").agg(F.array_sort(F.collect_list("at")).alias("constants"))
+    near = kept.join(texts, "text").where(F.size("constants") >= MIN_CONSTANT * F.size("tokens"))
+    masked = F.transform("tokens", lambda t, i: F.when(F.array_contains("constants", i), t).otherwise(MASK))
+    near = near.select("text", "leaf", F.array_join(masked, " ").alias("template"))
+    near = settle(near.withColumn("shape", F.xxhash64("leaf", "template")), "near")
+    # the template of a text that recurs word for word recurs too, if enough of it is constant
+    own = F.filter("tokens", lambda t: t != MASK)
+    sure = one.where(F.size(own) >= MIN_CONSTANT * F.size("tokens")).select(F.xxhash64("leaf", F.array_join("tokens", " ")).alias("shape"))
+    often = settle(_recurring(rest.join(near.select("text", "shape"), "text"), "shape").unionByName(sure).distinct(), "often")
+    drop = near.join(often, "shape", "left_semi").select("text", "template").unionByName(one.select("text", F.array_join(_tokens("line"), " ").alias("template")))
+    found = shared.select(*KEY, "n", "line", "text").join(settle(drop, "drop"), "text")
     if not shared.groupBy(*KEY, "n").count().where("count > 1").isEmpty():  # rows that are equal throughout
         found = found.dropDuplicates([*KEY, "n"])
-    masked = F.transform(_tokens("line"), lambda t, i: F.when(F.col("constants").isNull() | F.array_contains("constants", i), t).otherwise(MASK))
-    return found.select(*KEY, "n", "line", F.array_join(masked, " ").alias("template"))
+    return found.select(*KEY, "n", "line", "template")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,17 +96,22 @@ def op4_lines(spark, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = f"""
-WITH l AS (SELECT doc_id, text AS doc, n, line, list_filter(regexp_split_to_array(line, '[ \t]+'), lambda x: x <> '') AS tokens
+WITH l AS (SELECT doc_id, text AS doc, n, line, list_filter(regexp_split_to_array(line, '[ \t]+'), lambda x: x <> '') AS words
            FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE length(text) > 0)),
-t AS (SELECT *, [len(tokens)::VARCHAR] || [CASE WHEN regexp_matches(x, '[0-9]') THEN '{MASK}' ELSE x END FOR x IN tokens[1:{DEPTH}]] AS leaf FROM l WHERE len(tokens) > 0),
-leaves AS (SELECT leaf FROM t GROUP BY leaf HAVING count(DISTINCT (doc_id, doc)) >= {MIN_DOCS}),
-s AS (SELECT t.* FROM t JOIN leaves USING (leaf)),
-k AS (SELECT DISTINCT doc_id, doc, leaf, line, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM s),
-c AS (SELECT leaf, pos, token FROM k GROUP BY leaf, pos, token HAVING count(DISTINCT (doc_id, doc)) >= 2),
-m AS (SELECT leaf, line FROM (SELECT DISTINCT leaf, line, pos, token FROM k) LEFT JOIN (SELECT *, 1 AS one FROM c) USING (leaf, pos, token)
-      GROUP BY leaf, line HAVING count(one) >= {MIN_CONSTANT} * count(*)),
-g AS (SELECT doc_id, doc, count(*) AS dropped, sum(length(line)) AS chars FROM s JOIN m USING (leaf, line) GROUP BY doc_id, doc)
-SELECT d.doc_id, CAST(CASE WHEN length(text) > 0 THEN len(string_split(text, chr(10))) ELSE 0 END AS BIGINT) AS n_lines, CAST(coalesce(dropped, 0) AS BIGINT) AS dropped,
+t AS (SELECT *, [CASE WHEN regexp_matches(x, '[0-9]') THEN '{MASK}' ELSE x END FOR x IN words] AS tokens FROM l WHERE len(words) > 0),
+g AS (SELECT *, tokens[1:{DEPTH}] AS lead, len(tokens) AS size FROM t),
+leaves AS (SELECT size, lead FROM g GROUP BY size, lead HAVING count(DISTINCT (doc_id, doc)) >= {MIN_DOCS}),
+s AS (SELECT g.* FROM g JOIN leaves USING (size, lead)),
+same AS (SELECT line FROM s GROUP BY line HAVING count(DISTINCT (doc_id, doc)) >= {MIN_DOCS}),
+k AS (SELECT DISTINCT doc_id, doc, size, lead, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM s),
+c AS (SELECT size, lead, pos, token FROM k WHERE token <> '{MASK}' GROUP BY ALL HAVING count(DISTINCT (doc_id, doc)) >= {MIN_DOCS}),
+u AS (SELECT size, lead, line, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM (SELECT DISTINCT size, lead, line, tokens FROM s)),
+m AS (SELECT size, lead, line, count(one) AS constants, string_agg(CASE WHEN one = 1 THEN u.token ELSE '{MASK}' END, ' ' ORDER BY u.pos) AS template
+      FROM u LEFT JOIN (SELECT *, 1 AS one FROM c) USING (size, lead, pos, token) GROUP BY size, lead, line),
+often AS (SELECT size, lead, template FROM s JOIN m USING (size, lead, line) WHERE constants >= {MIN_CONSTANT} * size GROUP BY ALL HAVING count(DISTINCT (doc_id, doc)) >= {MIN_DOCS}),
+x AS (SELECT line FROM m JOIN often USING (size, lead, template) WHERE constants >= {MIN_CONSTANT} * size UNION SELECT line FROM same),
+d AS (SELECT doc_id, doc, count(*) AS dropped, sum(length(line)) AS chars FROM s JOIN x USING (line) GROUP BY doc_id, doc)
+SELECT documents.doc_id, CAST(CASE WHEN length(text) > 0 THEN len(string_split(text, chr(10))) ELSE 0 END AS BIGINT) AS n_lines, CAST(coalesce(dropped, 0) AS BIGINT) AS dropped,
        CAST(length(coalesce(text, '')) - coalesce(chars, 0) AS BIGINT) AS kept_chars
-FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id AND d.text = g.doc
+FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id AND documents.text = d.doc
 """
