@@ -1,12 +1,14 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Groups are rows of equal text. A group that holds more of any dimension than `PIECE` of a shard is dealt into pieces by a hash
-of its rows, so a hot text cannot overfill a shard; every other group stays whole. Units (groups or pieces) are hashed into a
-fixed number of bins, whose three sums are the vectors to pack: in order of size, each bin goes to the shard where the dot
-product with the residual capacity is highest among those it still fits in. Only heavy groups (whose number the pieces'
-size bounds) and the bins are ever collected or broadcast.
-
-Null texts count as empty; null ids are hashed like values; equal rows get different slots of one order. No rows: no rows.
+Groups are rows of equal text, and a group is never split. A group that holds more of any dimension than `HEAVY` of a shard is
+packed as a vector of its own; their number is bounded by that share, and in a small table they are all groups. The lighter
+groups are hashed into `BINS` bins, whose sums are the vectors to pack. In order of size, each goes to the shard where the dot
+product with the residual capacity is highest among those it still fits in; then bytes are levelled: the
+fullest shard gives units to others, or swaps them for lighter ones, while that helps. Only heavy groups and bins are ever collected or broadcast.
+
+A text whose copies hold more than a shard's share makes a shard larger than the others by as much: it stays whole. Its rows are
+still counted, ranked and written in many tasks. Null texts count as empty; null ids are hashed like values; equal rows get
+different slots of one order. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_SEP, read, settle, split_words
 
-SHARDS, BINS, PIECE = 16, 4096, 1 / 64
+SHARDS, BINS, HEAVY = 16, 4096, 1 / 64
 DIMS = ("bytes", "tokens", "rows")
+#: Rows of a unit are ranked in parts of about so many, so that a task sorts few rows.
+PART_ROWS = 50_000
 
 
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """vectors: a row of non-negative sums a bin. The shard of each bin, by largest dot product with residual capacity."""
+    """vectors: a row of non-negative sums a unit. The shard of each unit, by largest dot product with residual capacity."""
     total = vectors.sum(0)
     unit = vectors / np.where(total > 0, total, 1)
     left, out = np.full((shards, vectors.shape[1]), 1 / shards), np.zeros(len(vectors), np.int64)
@@ -38,6 +42,35 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def level(weights: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
+    """Evens out the sums: the heaviest shard gives a unit to another, or swaps one for a lighter one, while their gap shrinks."""
+    out, sums = shard.copy(), np.bincount(shard, weights, shards)
+    for _ in range(4 * len(weights)):
+        high = int(sums.argmax())
+        mine = np.flatnonzero(out == high)
+        for low in np.argsort(sums, kind="stable")[:-1]:
+            gap = sums[high] - sums[low]
+            theirs = np.flatnonzero(out == low)
+            theirs = theirs[np.argsort(weights[theirs], kind="stable")]
+            ladder = np.concatenate(([0.0], weights[theirs]))  # 0: nothing comes back
+            at = np.searchsorted(ladder, weights[mine] - gap / 2)
+            tries = np.stack([np.clip(at - 1, 0, len(ladder) - 1), np.clip(at, 0, len(ladder) - 1)])
+            rest = abs(gap - 2 * (weights[mine] - ladder[tries]))
+            k, i = np.unravel_index(rest.argmin(), rest.shape)
+            if gap > 0 and rest[k, i] < gap - 0.5:
+                back = int(tries[k, i])
+                out[mine[i]] = low
+                if back:
+                    out[theirs[back - 1]] = high
+                moved = weights[mine[i]] - ladder[back]
+                sums[high] -= moved
+                sums[low] += moved
+                break
+        else:
+            break
+    return out
+
+
 def measured(docs: DataFrame, id_col: str, text_col: str, extra: Sequence = ()) -> DataFrame:
     """group (a hash of the text), row (a hash of id and text) and the dimensions of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -51,49 +84,47 @@ def measured(docs: DataFrame, id_col: str, text_col: str, extra: Sequence = ())
     )
 
 
-def place(rows: DataFrame, shards: int = SHARDS, bins: int = BINS, piece: float = PIECE) -> tuple[DataFrame, DataFrame]:
-    """rows of measured() -> the rows with their bin, and a bounded table bin, shard, start (the bin's first slot)."""
+def place(rows: DataFrame, shards: int = SHARDS, bins: int = BINS, heavy: float = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """rows of measured() -> the rows with their unit (a heavy group or a bin), and a bounded table unit, shard, start, parts.
+
+    start is the unit's first slot, parts in how many its rows are ranked.
+    """
     spark = rows.sparkSession
     sums = [F.sum(d).alias(d) for d in DIMS]
     totals = [x or 0 for x in rows.agg(*sums).first()]
-    share = F.greatest(*[F.col(d) / F.lit(max(1, t) * piece / shards) for d, t in zip(DIMS, totals, strict=True)])
-    heavy = rows.groupBy("group").agg(*sums).where(share > 1).select("group", F.ceil(share).cast("long").alias("pieces"))
-    heavy = spark.createDataFrame(heavy.collect(), "group long, pieces long")  # at most 3 * shards / piece groups
-    dealt = rows.join(F.broadcast(heavy), "group", "left")
-    unit = F.xxhash64("group", F.pmod("row", F.coalesce("pieces", F.lit(1))))
-    dealt = dealt.withColumn("bin", F.pmod(unit, F.lit(bins)).cast("int")).drop("pieces")
-    found = sorted(dealt.groupBy("bin").agg(*sums).collect())
-    vectors = np.array([tuple(r)[1:] for r in found], float).reshape(-1, len(DIMS))
-    shard = pack(vectors, shards)
-    start, at = [], [0] * shards
-    for r, s in zip(found, shard, strict=True):
-        start.append(at[s])
+    share = F.greatest(*[F.col(d) / F.lit(max(1, t) * heavy / shards) for d, t in zip(DIMS, totals, strict=True)])
+    groups = rows.groupBy("group").agg(*sums).withColumn("heavy", share > 1)
+    units = groups.groupBy(F.when(F.col("heavy"), F.col("group")).alias("group"), F.when(~F.col("heavy"), F.pmod(F.xxhash64("group"), F.lit(bins))).cast("int").alias("bin")).agg(*sums)
+    found = sorted(units.collect(), key=lambda r: (r.bin is not None, r.bin or 0, r.group or 0))  # at most 3 * shards / heavy groups, and the bins
+    vectors = np.array([tuple(r)[2:] for r in found], float).reshape(-1, len(DIMS))
+    shard = level(vectors[:, 0], pack(vectors, shards), shards)
+    names, table, at = [], [], [0] * shards
+    for i, (r, s) in enumerate(zip(found, shard, strict=True)):
+        unit = r.bin if r.bin is not None else bins + i
+        if r.bin is None:
+            names.append((r.group, unit))
+        table.append((unit, int(s), at[s], -(-r.rows // PART_ROWS)))
         at[s] += r.rows
-    return dealt, spark.createDataFrame([(r.bin, int(s), a) for r, s, a in zip(found, shard, start, strict=True)], "bin int, shard int, start long")
-
-
-#: Rows of a bin are ranked in sub-bins, so that a task sorts few rows.
-SUB_ROWS = 50_000
+    named = F.broadcast(spark.createDataFrame(names, "group long, _unit int"))
+    dealt = rows.join(named, "group", "left").withColumn("unit", F.coalesce("_unit", F.pmod(F.xxhash64("group"), F.lit(bins)).cast("int"))).drop("_unit")
+    return dealt, spark.createDataFrame(table, "unit int, shard int, start long, parts int")
 
 
 def slots(dealt: DataFrame, table: DataFrame, order: Sequence[str]) -> DataFrame:
     """Adds shard and slot (gapless from 0 in each shard)."""
-    n = dealt.count()
-    subs = max(1, n // (BINS * SUB_ROWS) + 1)
-    dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("row", "bin"), F.lit(subs)).cast("int"))
-    counts = dealt.groupBy("bin", "sub").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("bin").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("bin", "sub", before.alias("before"))
-    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("bin", "sub").orderBy(*order)) - 1)
-    if subs == 1:
+    dealt = dealt.join(F.broadcast(table), "unit").withColumn("part", F.pmod(F.xxhash64("row", "unit"), F.col("parts")).cast("int"))
+    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("unit", "part").orderBy(*order)) - 1)
+    if table.where("parts > 1").isEmpty():
         ranked = ranked.withColumn("before", F.lit(0))
     else:
-        ranked = ranked.join(offsets, ["bin", "sub"])
-    return ranked.join(F.broadcast(table), "bin").withColumn("slot", F.col("start") + F.col("before") + F.col("rank")).drop("sub", "rank", "before", "start")
+        counts = dealt.groupBy("unit", "part").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(W.partitionBy("unit").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        ranked = ranked.join(counts.select("unit", "part", before.alias("before")), ["unit", "part"])
+    return ranked.withColumn("slot", F.col("start") + F.col("before") + F.col("rank")).drop("part", "parts", "rank", "before", "start")
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """id, text_crc32, the dimensions, bin, shard and slot of each row of docs."""
+    """id, text_crc32, the dimensions, unit, shard and slot of each row of docs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = settle(measured(docs, id_col, text_col, [F.col(id_col).alias("id"), F.crc32(text.cast("binary")).alias("text_crc32")]), "rows")
     dealt, table = place(rows, shards)
@@ -101,11 +132,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> None:
-    """Write docs under path in one folder a shard (column shard), files in no larger pieces than a bin's range."""
+    """Write docs under path in one folder a shard (column shard), in files of some units each."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = measured(docs, id_col, text_col, [F.struct("*").alias("_row"), F.crc32(text.cast("binary")).alias("text_crc32")])
     dealt, table = place(rows, shards)
-    dealt.join(F.broadcast(table), "bin").select("_row.*", "shard", "bin").repartition("shard", (F.col("bin") % 64)).drop("bin").write.partitionBy("shard").parquet(path)
+    part = F.pmod(F.xxhash64("row"), F.col("parts"))
+    dealt.join(F.broadcast(table), "unit").select("_row.*", "shard", (F.col("unit") % 64).alias("_file"), part.alias("_part")).repartition("shard", "_file", "_part").drop("_file", "_part").write.partitionBy("shard").parquet(path)
 
 
 def op8_shard(spark, sf_dir: str) -> DataFrame:
