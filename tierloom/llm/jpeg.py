@@ -18,6 +18,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -221,32 +222,31 @@ def parse(data: bytes) -> list[Picture]:
     return out
 
 
-_CACHE: dict = {}
+#: Tables kept by a worker (1 MB each): files of one origin share theirs, and a worker that meets more makes them again.
+KEPT = 16
 
 
+@lru_cache(KEPT)
 def _look_up(table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """For each 16 bits: length of the code they begin with (0: none) and its symbol."""
-    if table not in _CACHE:
-        length, symbol = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        for s, (code, n) in codes({i + 1: table[i] for i in range(16)}, list(table[16:])).items():
-            length[code << (16 - n) : (code + 1) << (16 - n)] = n
-            symbol[code << (16 - n) : (code + 1) << (16 - n)] = s
-        _CACHE[table] = length, symbol
-    return _CACHE[table]
+    length, symbol = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    for s, (code, n) in codes({i + 1: table[i] for i in range(16)}, list(table[16:])).items():
+        length[code << (16 - n) : (code + 1) << (16 - n)] = n
+        symbol[code << (16 - n) : (code + 1) << (16 - n)] = s
+    return length, symbol
 
 
+@lru_cache(KEPT)
 def _fused(dc: bytes, ac: bytes) -> tuple[np.ndarray, np.ndarray]:
     """For each 16 bits: bits of a whole block without AC coefficients (0: it is not one) and the DC difference."""
-    if (dc, ac) not in _CACHE:
-        bits = np.arange(1 << 16)
-        n, s = _look_up(dc)
-        extra = (bits >> np.clip(16 - n - s, 0, 16)) & ((1 << s) - 1)
-        diff = np.where((s > 0) & (extra < (1 << np.maximum(s - 1, 0))), extra - (1 << s) + 1, extra)
-        rest = (bits << (n + s)) & 0xFFFF
-        an, asym = _look_up(ac)
-        good = (n > 0) & (s <= 11) & (n + s < 16) & (an[rest] > 0) & (asym[rest] == 0) & (n + s + an[rest] <= 16)
-        _CACHE[dc, ac] = np.where(good, n + s + an[rest], 0), diff.astype(np.int64)
-    return _CACHE[dc, ac]
+    bits = np.arange(1 << 16)
+    n, s = _look_up(dc)
+    extra = (bits >> np.clip(16 - n - s, 0, 16)) & ((1 << s) - 1)
+    diff = np.where((s > 0) & (extra < (1 << np.maximum(s - 1, 0))), extra - (1 << s) + 1, extra)
+    rest = (bits << (n + s)) & 0xFFFF
+    an, asym = _look_up(ac)
+    good = (n > 0) & (s <= 11) & (n + s < 16) & (an[rest] > 0) & (asym[rest] == 0) & (n + s + an[rest] <= 16)
+    return np.where(good, n + s + an[rest], 0), diff.astype(np.int64)
 
 
 def _windows(data: np.ndarray) -> np.ndarray:
@@ -419,7 +419,7 @@ def look(media: list[bytes | None]) -> list[tuple]:
     try:
         pictures = [parse(m) for m in media]
         thumbs = iter(thumbnails([p for own in pictures for p in own]))
-    except Exception as why:
+    except (ValueError, LookupError, TypeError, struct.error) as why:  # what broken or foreign bytes lead to
         if len(media) > 1:
             return [look([m])[0] for m in media]
         m = media[0]
@@ -454,4 +454,4 @@ def features(stored: DataFrame, media_col: str = "media", keep: tuple[str, ...]
 
 def op1_jpeg(spark, sf_dir: str) -> DataFrame:
     found = features(store(read(spark, sf_dir, "documents")))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
