@@ -63,6 +63,35 @@ def test_counterfactuals_reduce_false_positives_on_group_mentions():
     assert sum(fair.logit(w) >= 0 for w in toxic) > 250
 
 
+def test_the_shipped_penalty_acts_through_train(spark, frame):
+    r = random.Random(9)
+    vocabulary = [f"word{i}" for i in range(200)]
+    docs, labels = [], []
+    for i in range(1500):  # in each language toxic texts often name one group, neutral ones another
+        bad = i % 3 == 0
+        one, other = r.choice([("muslim", "christian"), ("femmes", "hommes"), ("chino", "europeo"), ("araber", "inder")])
+        w = r.choices(vocabulary, k=12) + ([one] if r.random() < (0.7 if bad else 0.05) else [other] if r.random() < 0.5 else [])
+        docs.append((i, " ".join(w + ([r.choice(["idiot", "scum"])] if bad and r.random() < 0.8 else []))))
+        labels.append((i, 1, int(bad)))
+    known = spark.createDataFrame(labels, LABELS)
+    plain, fair = (t.train(frame(docs), known, fairness=x) for x in (0.0, t.FAIRNESS))
+    assert fair.pairs > 500
+    wrong = []
+    for m in (plain, fair):
+        neutral = [set(r.choices(vocabulary, k=12)) | {name} for name in ("muslim", "femmes", "chino", "araber") for _ in range(200)]
+        wrong.append(sum(m.logit(w) >= 0 for w in neutral))
+    assert wrong[0] > 100 and wrong[1] < wrong[0] / 2
+    for a, b in (("muslim", "christian"), ("femmes", "hommes"), ("chino", "europeo"), ("araber", "inder")):
+        assert abs(fair.logit({a}) - fair.logit({b})) < abs(plain.logit({a}) - plain.logit({b})) / 2
+    toxic = [set(r.choices(vocabulary, k=12)) | {"idiot"} for _ in range(300)]
+    assert sum(fair.logit(w) >= 0 for w in toxic) > 250
+
+
+def test_names_stand_in_one_kind_alone():
+    names = [w for kind in t.IDENTITIES for w in kind]
+    assert len(names) == len(set(names)) and all(w == w.lower() for w in names)
+
+
 def test_swaps():
     assert t.swaps({"a", "b"}) == []
     assert {"a", "people"} in t.swaps({"a", "women"}) and len(t.swaps({"women"})) == 3
@@ -79,3 +108,15 @@ def test_clean_and_degenerate_labels(spark, frame, edge):
     assert t.train(table, none).score(b"x") == 0.5
     assert t.clean(frame([]), none).count() == 0
     assert t.train(table, spark.createDataFrame([(i, q, 0) for i, q, _ in labels], LABELS)).score(b"idiot") < 0.01
+    assert t.clean(frame([]), spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def test_query_on_given_documents(spark):
+    """op6_toxicity on whole given tables: contract columns and held-out accuracy."""
+    found = t.op6_toxicity(spark, "/root/testdata/sf0.01")
+    assert found.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = found.collect()
+    assert len(rows) == 1000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in rows)
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert np.mean([p == y for p, y in held]) > 0.95

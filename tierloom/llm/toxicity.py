@@ -3,7 +3,8 @@
 A document's features are its distinct words and their first 4 to 6 letters, hashed. Features that tell the classes apart
 in the labelled rows are kept, and a logistic regression is fitted to them. Where a labelled text names a group, its words are swapped
 for the other names of the same kind, and the squared change of the score is part of the loss, so that a group's mention
-alone moves no score.
+alone moves no score. Where no labelled text names a group, or no name's feature tells the classes apart, there is no such
+pair (Model.pairs is 0), and no name has a weight.
 
 The fit uses at most `SAMPLE` labelled rows, drawn by a hash of their ids; scoring reads every text whole. Null and empty
 texts have no features and score the intercept. A document with several labels takes the highest. Without labels, or with one
@@ -26,7 +27,7 @@ SAMPLE, SEED, HASH_BITS = 16_000, 5, 22
 SUPPORT, GAIN, MOST_FEATURES = 3, 6.6, 8192
 L2, FAIRNESS, STEPS = 2e-4, 1.0, 400
 
-#: Names of groups by kind; the first of each kind is neutral. Fixed values.
+#: Names of groups by kind, in English, French, Spanish and German; the first of each kind is neutral. Fixed values.
 IDENTITIES = (
     ("people", "women", "men", "girls", "boys"),
     ("person", "woman", "man", "girl", "boy"),
@@ -35,6 +36,21 @@ IDENTITIES = (
     ("sexual", "gay", "straight", "lesbian", "bisexual", "transgender", "heterosexual", "homosexual", "queer"),
     ("foreign", "american", "mexican", "african", "asian", "european", "chinese", "indian", "arab", "black", "white", "latino"),
     ("human", "old", "young", "disabled", "blind", "deaf", "poor", "rich", "immigrant", "refugee"),
+    ("personnes", "femmes", "hommes", "filles", "garçons"),
+    ("personne", "femme", "homme", "fille", "garçon"),
+    ("croyants", "chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("croyant", "chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("étranger", "américain", "mexicain", "africain", "asiatique", "européen", "chinois", "indien", "arabe", "noir", "blanc"),
+    ("humain", "vieux", "jeune", "handicapé", "aveugle", "sourd", "pauvre", "riche", "immigré", "réfugié"),
+    ("personas", "mujeres", "hombres", "chicas", "chicos"),
+    ("persona", "mujer", "hombre", "chica", "chico"),
+    ("creyentes", "cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("extranjero", "americano", "mexicano", "africano", "asiático", "europeo", "chino", "indio", "árabe", "negro", "blanco"),
+    ("humano", "viejo", "joven", "ciego", "sordo", "pobre", "rico", "inmigrante", "refugiado"),
+    ("menschen", "frauen", "männer", "mädchen", "jungen"),
+    ("gläubige", "christen", "muslime", "juden", "buddhisten", "atheisten"),
+    ("ausländer", "amerikaner", "mexikaner", "afrikaner", "asiaten", "europäer", "chinesen", "inder", "araber"),
+    ("mensch", "behinderte", "blinde", "gehörlose", "arme", "reiche", "einwanderer", "flüchtling"),
 )
 _KIND = {w: (kind, i) for kind in IDENTITIES for i, w in enumerate(kind)}
 
@@ -64,10 +80,10 @@ def swaps(w: set[str]) -> list[set[str]]:
 
 
 class Model:
-    """weights of the kept features by hash, and the intercept."""
+    """weights of the kept features by hash, the intercept, and the number of counterfactual pairs that the fit penalised."""
 
-    def __init__(self, weights: dict[int, float], bias: float) -> None:
-        self.weights, self.bias, self.seen = weights, bias, {}
+    def __init__(self, weights: dict[int, float], bias: float, pairs: int = 0) -> None:
+        self.weights, self.bias, self.pairs, self.seen = weights, bias, pairs, {}
 
     def logit(self, w: set[str]) -> float:
         found: set[int] = set()
@@ -143,7 +159,7 @@ def fit(rows: Sequence[Sequence[int]], labels: Sequence[int], pairs: Sequence[tu
         rate = 0.1 * (1 - step / (STEPS + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         w -= rate * v / (np.sqrt(u) + 1e-9)
         b -= rate * vb / (np.sqrt(ub) + 1e-9)
-    return Model({int(f): float(x) for f, x in zip(kept, w, strict=True)}, float(b))
+    return Model({int(f): float(x) for f, x in zip(kept, w, strict=True)}, float(b), len(pairs))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, fairness: float = FAIRNESS) -> Model:
@@ -160,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([int(o[0]) for o in out], pa.int32()), pa.array([o[1] for o in out], ints), pa.array([o[2] for o in out], pa.list_(ints))], names=["label", "f", "swapped"])
 
     rows = settle(rows.mapInArrow(run, "label int, f array<int>, swapped array<array<int>>"), "toxic-rows")
+    # at most 2 ** HASH_BITS features, and no more than the sample holds
     counts = rows.select("label", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).where(F.col("n") >= SUPPORT).toArrow()
     total = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     kept = informative(counts["f"].to_numpy().astype(np.int64), counts["n"].to_numpy().astype(float), counts["bad"].to_numpy().astype(float), *map(float, total))
