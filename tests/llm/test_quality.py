@@ -43,6 +43,8 @@ def test_normal_equations_are_the_sums(spark, frame):
     a, b, n = q.normal_equations(rows, waves)
     z = waves(x)
     assert n == len(own) and np.allclose(a, z.T @ z) and np.allclose(b, z.T @ y)
+    a, b, n = q.normal_equations(rows.repartition(23), waves)  # groups of several partitions
+    assert n == len(own) and np.allclose(a, z.T @ z) and np.allclose(b, z.T @ y)
 
 
 def test_waves_approximate_a_gaussian_kernel():
@@ -63,3 +65,17 @@ def test_no_labels_and_empty(spark, frame):
     none = spark.createDataFrame([], LABELS)
     assert {r.score for r in q.score(frame([(1, "a"), (2, None)]), none).collect()} == {0.5}
     assert q.score(frame([]), none).count() == 0
+    some = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], LABELS)
+    assert q.score(frame([]), some).count() == 0
+    assert q.score(frame([(1, "a"), (2, None)]), some).count() == 2
+
+
+def test_query_on_given_documents(spark):
+    """op10_quality on whole given tables: contract columns and held-out accuracy."""
+    found = q.op10_quality(spark, "/root/testdata/sf0.01")
+    assert found.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = found.collect()
+    assert len(rows) == 1000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for r in rows)
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert np.mean([p == y for p, y in held]) > 0.95
