@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierloom.operators import compare, contract, evaluate, gate, tiers
-from tierloom.operators.registry import Registry, mutations
+from tierloom.operators import adapter, bundle, shapes
+from tierloom.operators.registry import Refusal, Registry, mutations
 from tierloom.packs import PARTS
 from tierloom.plans import pipeline
 from tierloom.sources import files, jsonl, synth
@@ -155,6 +156,10 @@ def written(tmp_path, text):
         ("row_id,sku,title,\nR1,S,T,\n", ["unnamed_header_fields"], "breaking"),
         ("row_id,sku,title\nR1,S,T,extra\n", ["unlabeled_extra_values"], "breaking"),
         (b"\xff\xfe", ["invalid_utf8"], "breaking"),
+        (b"row_id,sku,title\nR1,\xff,T\n", ["invalid_utf8"], "breaking"),
+        ('row_id,sku,title\nR1,"a,b"\n', ["missing_required_values"], "none"),
+        ('row_id,sku,title\nR1,"a\nb ""c""","T,U"\nR2,,""\n', [], "none"),
+        ("", ["missing_required_fields", "empty_input"], "breaking"),
     ],
 )
 def test_contract(spark, tmp_path, text, failures, drift):
@@ -164,6 +169,35 @@ def test_contract(spark, tmp_path, text, failures, drift):
         assert r["missing_value_counts"]["title"] == 1 and r["null_value_counts"]["sku"] == 1
 
 
+def test_short_row_with_a_quoted_comma_lacks_its_title(spark, tmp_path):
+    r = contract.inspect_csv(spark, written(tmp_path, 'row_id,sku,title\nR1,"a,b"\nR2,S,\n'))
+    assert r["missing_value_counts"]["title"] == 1 and r["null_value_counts"]["title"] == 1 and not r["passed"]
+
+
+def test_files_of_other_column_order_are_read_by_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text("row_id,sku,title\nR1,s1,ROTORS\n")
+    (folder / "b.csv").write_text("title,row_id,more,sku\nPADS X,R2,m,s2\n")
+    r = contract.inspect_csv(spark, str(folder))
+    assert r["passed"] and r["drift_status"] == "additive" and r["extra_fields"] == ["more"] and r["row_count"] == 2
+    assert sorted(map(tuple, files.read_raw_csv(spark, str(folder)).collect())) == [("R1", "s1", "ROTORS"), ("R2", "s2", "PADS X")]
+    one = written(tmp_path, "row_id,sku,title\nR2,s2,PADS X\nR1,s1,ROTORS\n")
+    assert r["effective_content_sha256"] == contract.inspect_csv(spark, one)["effective_content_sha256"]
+    (folder / "c.csv").write_text("row_id,title\nR3,T\n")
+    r = contract.inspect_csv(spark, str(folder))
+    assert r["failures"] == ["missing_required_fields"] and r["missing_required_fields"] == ["sku"]
+    with pytest.raises(ValueError, match="sku"):
+        files.read_raw_csv(spark, str(folder))
+
+
+def test_duplicate_ids_are_counted_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(contract, "SAMPLE", 2)
+    rows = "".join(f"R{i},S,T\nR{i},S,T\n" for i in range(5))
+    r = contract.inspect_csv(spark, written(tmp_path, "row_id,sku,title\n" + rows))
+    assert r["duplicate_row_id_count"] == 5 and r["duplicate_row_ids"] == ["R0", "R1"]
+
+
 def test_content_digest_ignores_order_and_extra_columns(spark, tmp_path):
     a = contract.inspect_csv(spark, written(tmp_path, "row_id,sku,title\nR1,S,T\nR2,,U\n"))
     b = contract.inspect_csv(spark, written(tmp_path, "x,title,row_id,sku\n1,U,R2,\n2,T,R1,S\n"))
@@ -202,10 +236,142 @@ def test_mutated_registry_fails_reconciliation(spark, done, tmp_path):
         bad = v | {"tables": v["tables"] | {"products": []}}
         bad = r._stage(bad, "products", change)
         assert reason in r.reconcile(batch, bad)["reasons"]
+    for name, change, reason in (
+        ("batch_lineage", lambda t: t.withColumn("added", F.col("added") + 1), "lineage_added_mismatch"),
+        ("batch_lineage", lambda t: t.withColumn("unchanged", F.lit(7).cast("long")), "lineage_unchanged_mismatch"),
+        ("batch_lineage", lambda t: t.withColumn("parent_batch_id", F.lit("x")), "lineage_parent_batch_id_mismatch"),
+        ("batch_lineage", lambda t: t.withColumn("comparison_sha256", F.lit("x")), "lineage_comparison_sha256_mismatch"),
+        ("batch_lineage", lambda t: t.limit(0), "missing_lineage"),
+        ("batch_outcomes", lambda t: t.where("row_id <> 'R0002'"), "outcome_digest_mismatch"),
+        ("gate_decisions", lambda t: t.withColumn("batch_id", F.lit("other")), "decision_batch_link_mismatch"),
+        ("gate_decisions", lambda t: t.withColumn("passed", F.lit(False)), "decision_not_passed"),
+        ("products", lambda t: t.withColumn("payload", F.lit("[1]")), "product_schema_error"),
+    ):
+        bad = r._stage(v | {"tables": v["tables"] | {name: []}}, name, change(r.table(name, v)))
+        assert reason in r.reconcile(batch, bad)["reasons"], reason
+    assert r.outcomes(batch).count() == 300
+    with pytest.raises(Refusal):
+        r.outcomes(batch, r._stage(v | {"tables": v["tables"] | {"batch_outcomes": []}}, "batch_outcomes", r.table("batch_outcomes", v).limit(3)))
     bad = r._stage(v | {"tables": v["tables"] | {"gate_decisions": []}}, "gate_decisions", r.table("gate_decisions", v).withColumn("passed", ~F.col("passed")))
     assert {"decision_set_mismatch", "decision_id_mismatch"} <= set(r.reconcile(batch, bad)["reasons"])
 
 
+def test_files_of_another_schema_and_a_held_lock_are_refused(spark, done, tmp_path):
+    import fcntl
+    import shutil
+
+    work, *_ = done
+    shutil.copytree(work / "registry", tmp_path / "r")
+    r = Registry(spark, str(tmp_path / "r"), timeout=0.2)
+    v = r.version()
+    r.check(v)
+    folder = tmp_path / "r" / v["tables"]["batches"][0]
+    r.table("batches", v).withColumn("more", F.lit(1)).write.parquet(str(tmp_path / "other"))
+    shutil.rmtree(folder)
+    shutil.copytree(tmp_path / "other", folder)
+    with pytest.raises(Refusal, match="registry_schema_mismatch"):
+        r.check(v)
+    with open(r.path / "LOCK", "w") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        with pytest.raises(Refusal, match="registry_locked"), r._lock():
+            pass
+
+
+def test_bundle_is_verified_as_it_lies(spark, done, tmp_path):
+    import shutil
+
+    work, *_ = done
+    found = bundle.verify(spark, work, PACK)
+    assert found["extra_fields"] == {"raw": [], "decoded": [], "rejects": []}
+
+    def after(change):
+        copy = tmp_path / "b"
+        shutil.rmtree(copy, ignore_errors=True)
+        shutil.copytree(work, copy, ignore=shutil.ignore_patterns("registry", "outcomes", "raw"))
+        change(copy)
+        with pytest.raises(Refusal) as e:
+            bundle.verify(spark, copy, PACK)
+        return e.value.reason
+
+    def edit(name, **fields):
+        def change(folder):
+            doc = json.loads((folder / name).read_text())
+            (folder / name).write_text(json.dumps(doc | fields))
+
+        return change
+
+    def line(folder_name, old, new):
+        def change(folder):
+            part = next(p for p in sorted((folder / folder_name).glob("part-*.json")) if p.stat().st_size)
+            text = part.read_text().split("\n")
+            text[0] = text[0].replace(old, new, 1)
+            part.write_text("\n".join(text))
+            for crc in (folder / folder_name).glob(".*.crc"):
+                crc.unlink()
+
+        return change
+
+    assert after(lambda f: (f / "manifest.json").unlink()) == "missing_manifest"
+    assert after(lambda f: (f / "manifest.json").write_text("{")) == "malformed_manifest"
+    assert after(edit("gate_report.json", passed="yes")) == "malformed_gate_report.passed"
+    assert after(edit("schema_report.json", drift_events=[{"kind": "additive_field"}])) == "malformed_schema_report.drift_events[0]"
+    assert after(edit("comparison_report.json", transitions={"a_to_b": 1})) == "malformed_comparison_report.comparison_sha256"
+    assert after(edit("eval_report.json", coverage=0.5)) == "binding_mismatch"
+    assert after(line("decoded", '"is_winter_rated":', '"is_winter_rated":"x","was":')) == "schema_contract_failed"
+    assert after(line("rejects", '"bucket":"', '"bucket":"lost')) == "schema_contract_failed"
+    assert after(line("rejects", "{", "")) == "malformed_rejects"
+    assert after(lambda f: shutil.rmtree(f / "decoded")) == "missing_decoded"
+
+
+@pytest.mark.parametrize(
+    ("value", "shape", "reason"),
+    [
+        (1, "bool", "malformed_x"),
+        (True, "count", "malformed_x"),
+        (float("nan"), "number", "malformed_x"),
+        ("", "text", "malformed_x"),
+        ("A" * 64, "sha256", "malformed_x"),
+        ([1, "a"], ["string"], "malformed_x[0]"),
+        ({"a": {"b": -1}}, {"a": {"*": "count"}}, "malformed_x.a.b"),
+        ({}, {"a": "string"}, "malformed_x.a"),
+        ([1], ("count", "count"), "malformed_x"),
+        ("c", {"a", "b"}, "malformed_x"),
+    ],
+)
+def test_shapes(value, shape, reason):
+    with pytest.raises(shapes.ShapeError) as e:
+        shapes.check(value, shape, "x")
+    assert e.value.reason == reason
+    shapes.check({"a": [1], "extra": None}, {"a": ["count"], "b?": "string"}, "x")
+
+
+def test_answers(spark):
+    good = {"category": "Braking", "subcategory": "Rotors", "attributes": {"pack_count": 2}, "is_winter_rated": False}
+    answers = [json.dumps(good), json.dumps(good | {"abstain": True}), '{"abstain": true}', "no json", "[]", json.dumps(good | {"is_winter_rated": "no"}), json.dumps(good | {"attributes": []}), None]
+    plain = [adapter.parse(a) for a in answers]
+    assert plain == [good] + [None] * 7
+    got = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string").select("i", adapter.parsed(F.col("a"), PACK).alias("c")).orderBy("i").collect()
+    assert [r.c is not None for r in got] == [p is not None for p in plain] and got[0].c.attributes.pack_count == 2
+    text = adapter.prompt("BRK ROTORS", PACK)
+    assert "BRK ROTORS" in text and "Rotors" in text and "pack_count" in text
+
+    class Block:
+        def __init__(self, kind, text):
+            self.type, self.text = kind, text
+
+    assert adapter.first_text([Block("thinking", "a"), Block("text", "b")]) == "b" and adapter.first_text([]) == ""
+
+    def ask(question):
+        if "FAIL" in question:
+            raise OSError("down")
+        return answers[0]
+
+    tier = adapter.AnswerTier(ask, PACK, "stub")
+    raw = spark.createDataFrame([("R1", "s", "ROTORS OF A NAME"), ("R2", "s", "FAIL ROTORS")], files.RAW)
+    out = {r.row_id: r for r in tiers.run_batch(raw, [tiers.PythonTier(tier)], PACK).collect()}
+    assert out["R1"].state == "decoded" and out["R1"].decode.evidence == "model:stub" and out["R2"].state == "abstained" and not tier.identity()["deterministic"]
+
+
 def test_mutations(spark):
     s = "row_id string, payload_sha256 string, origin_batch_id string"
     a = spark.createDataFrame([("a", "1", "x"), ("b", "1", "x"), ("c", "1", "x")], s)

@@ -2,7 +2,7 @@
 
 Two canonical forms are kept apart: compact JSON (sorted keys, no blanks, UTF-8) names documents and records, and line JSON
 (sorted keys, default separators, ASCII escapes) names files of rows. Small documents are digested on the driver; row sets of
-any size are digested by Spark: each row by itself, then the ordered row digests, in buckets where they do not fit one task.
+any size are digested by Spark: each row by itself, then the row digests in a tree whose levels no task has to hold whole.
 """
 
 from __future__ import annotations
@@ -36,18 +36,23 @@ def row_digest(columns: Sequence[str], null: str = "\\N") -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(null)) for c in columns]), 256)
 
 
-def rowset_digest(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """rows, digest: one digest of all rows in the order of key. All row digests meet in one task: for row sets that fit it."""
-    each = df.select(F.col(key).alias("k"), row_digest(columns).alias("d"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"])
-    return each.agg(F.count("*").alias("rows"), F.sha2(F.array_join(listed, ","), 256).alias("digest"))
+def _ordered(key: str, digest: str) -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, digest))), lambda x: x[digest]), ","), 256)
 
 
-def bucketed_digest(df: DataFrame, key: str, columns: Sequence[str], buckets: int = 64) -> DataFrame:
-    """The two-level form: a digest of each key bucket, then one of the buckets' digests in order. No task sees all rows."""
-    bucket = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(buckets))
-    each = df.select(bucket.alias("b"), F.col(key).alias("k"), row_digest(columns).alias("d"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"])
-    parts = each.groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(listed, ","), 256).alias("d"))
-    top = F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
-    return parts.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(top, ","), 256).alias("digest"))
+def tree_digest(rows: DataFrame, by: Sequence[str] = (), digest: str = "d") -> DataFrame:
+    """by, rows, digest: one digest of the row digests of each group, whatever the order of its rows.
+
+    A tree of three levels, by the first five and two hex digits of the row digests: a million leaves, 256 branches and the
+    root. So a task takes a millionth of the rows and the levels above have a fixed size. Equal rows count as often as they stand.
+    """
+    d = F.col(digest)
+    leaves = rows.groupBy(*by, F.substring(d, 1, 5).alias("_leaf")).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(d)), ","), 256).alias("_d"))
+    branches = leaves.groupBy(*by, F.substring("_leaf", 1, 2).alias("_branch")).agg(F.sum("rows").alias("rows"), _ordered("_leaf", "_d").alias("_d"))
+    return branches.groupBy(*by).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), _ordered("_branch", "_d").alias("digest"))
+
+
+def set_digest(df: DataFrame, columns: Sequence[str]) -> str:
+    """The tree digest of the columns of all rows, as JSON with its nulls."""
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    return tree_digest(df.select(row.alias("d"))).first()["digest"]

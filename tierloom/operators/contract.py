@@ -1,7 +1,7 @@
 """The raw input's contract: required columns, additive drift, and evidence of what breaks it.
 
-The header is read by itself, because a CSV reader renames what a contract must report. The body is read as typed text and
-profiled by aggregates; only small lists of evidence reach the driver.
+Headers are read by themselves, file by file, because a CSV reader renames what a contract must report. The body is read as
+typed text and profiled by aggregates; only small lists of evidence reach the driver.
 """
 
 from __future__ import annotations
@@ -10,15 +10,18 @@ import csv
 import io
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.digest import sha256_json
+from ..functions.digest import set_digest, sha256_json
+from ..sources.files import REQUIRED, names_of, read_body, survey
 
 RAW_SCHEMA_VERSION = "1"
-REQUIRED = ("row_id", "sku", "title")
-#: Duplicate ids listed in a report; the count is whole.
+#: Duplicate ids listed in a report; the count beside them is whole, and duplicate_ids() has them all.
 SAMPLE = 1000
 
 
@@ -75,32 +78,42 @@ def _report(head: dict, n_rows: int, more: dict, failures: list[str], digest: st
 
 
 def content_digest(rows: DataFrame) -> str:
-    """Digest of the required columns in the order of row_id, whatever the order of rows and extra columns in the file."""
-    text = F.to_json(F.struct(*[F.col(c) for c in REQUIRED]), {"ignoreNullFields": "false"})
-    each = rows.select(F.col("row_id").alias("k"), F.sha2(text, 256).alias("d"), F.pmod(F.crc32(F.coalesce("row_id", F.lit(""))), F.lit(256)).alias("b"))
-    parts = each.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ","), 256).alias("d"))
-    return sha256_json([[r["b"], r["d"]] for r in sorted(parts.collect())])
+    """Digest of the required columns, whatever the order of rows and extra columns in the file."""
+    return set_digest(rows, list(REQUIRED))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _cells(text: pd.Series) -> pd.Series:
+    """The cells of a record's text, quoted ones included."""
+    return text.map(lambda t: next(csv.reader(io.StringIO(t, newline="")), []), na_action="ignore")
+
+
+def duplicate_ids(rows: DataFrame) -> DataFrame:
+    """row_id, count of ids that stand more than once; empty ids are no ids."""
+    return rows.where("row_id <> ''").groupBy("row_id").count().where("count > 1")
 
 
 def inspect_csv(spark: SparkSession, path: str) -> dict:
-    """The contract report of a CSV file or folder of files that share a header."""
-    blank = {"observed": [], "missing": list(REQUIRED), "extra": [], "duplicate": [], "unnamed": []}
-    empty = {"duplicate_row_ids": [], "missing_value_counts": {}, "null_value_counts": {}}
-    raw = spark.read.format("binaryFile").load(path)
-    if raw.where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count():
+    """The contract report of a CSV file or folder of files. Each file's header counts; files may differ in order and extra columns."""
+    found = survey(spark, path)
+    empty = {"duplicate_row_ids": [], "duplicate_row_id_count": 0, "missing_value_counts": {}, "null_value_counts": {}}
+    if any(f["invalid"] for f in found):
+        blank = {"observed": [], "missing": list(REQUIRED), "extra": [], "duplicate": [], "unnamed": []}
         return _report(blank, 0, empty, ["invalid_utf8"], None)
-    first = spark.read.text(path).limit(1).collect()
-    head = header_evidence(next(csv.reader(io.StringIO(first[0][0]))) if first and first[0][0] else [])
+    heads = [header_evidence(names_of(f["header"])) for f in found] or [header_evidence([])]
+    head = {"observed": heads[0]["observed"]} | {k: sorted({x for h in heads for x in h[k]}) for k in ("missing", "extra", "duplicate")}
+    head["unnamed"] = list(dict.fromkeys(x for h in heads for x in h["unnamed"]))
     failures = [k for k, on in (("missing_required_fields", head["missing"]), ("duplicate_header_fields", head["duplicate"]), ("unnamed_header_fields", head["unnamed"])) if on]
-    # names are made unique by place, so that repeated and empty ones can be read; one more column takes what is unlabelled
-    names = [f"c{i}" for i in range(len(head["observed"]))]
-    schema = ", ".join(f"`{c}` string" for c in [*names, "_corrupt"])
-    body = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").csv(path)
-    place = {f: names[head["observed"].index(f)] for f in REQUIRED if f in head["observed"]}
-    fields = body.withColumn("_cells", F.when(F.col("_corrupt").isNotNull(), F.size(F.split("_corrupt", ','))).otherwise(len(names)))
-    # a null cell of a whole row was empty; in a short row the cells beyond its end are missing
-    cells = [F.when(F.col(place[f]).isNull() & (F.col("_cells") > head["observed"].index(f)), "").otherwise(F.col(place[f])).alias(f) for f in place]
-    rows = fields.select(*cells, (F.col("_cells") > len(names)).alias("_long")).persist()
+    # fields that every file has are profiled; of a record of another length its own cells count: what is beyond its end is missing
+    known = [c for c in REQUIRED if c not in head["missing"]]
+    parts = []
+    for f, h in zip(found, heads, strict=bool(found)):
+        at = {c: h["observed"].index(c) for c in known}
+        body = read_body(spark, f).withColumn("_own", _cells("_corrupt"))
+        cells = [F.when(F.col("_corrupt").isNull(), F.coalesce(f"c{i}", F.lit(""))).otherwise(F.get("_own", F.lit(i))).alias(c) for c, i in at.items()]
+        parts.append(body.select(*cells, F.coalesce(F.size("_own") > len(h["observed"]), F.lit(False)).alias("_long")))
+    schema = "".join(f"{c} string, " for c in known) + "_long boolean"
+    rows = (reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)).persist()
     try:
         n = rows.count()
         if not n:
@@ -108,14 +121,15 @@ def inspect_csv(spark: SparkSession, path: str) -> dict:
         if rows.where("_long").limit(1).count():
             failures.append("unlabeled_extra_values")
         more = dict(empty)
-        if place:
-            seen = {r["field"]: r for r in profile(rows, list(place)).collect()}
-            more["missing_value_counts"] = {f: seen[f]["missing"] for f in place}
-            more["null_value_counts"] = {f: seen[f]["empty"] for f in place}
-        if "row_id" in place:
-            twice = rows.where("row_id <> ''").groupBy("row_id").count().where("count > 1").orderBy("row_id").limit(SAMPLE)
-            more["duplicate_row_ids"] = [r["row_id"] for r in twice.collect()]
-            if more["duplicate_row_ids"]:
+        if known:
+            seen = {r["field"]: r for r in profile(rows, known).collect()}
+            more["missing_value_counts"] = {c: seen[c]["missing"] for c in known}
+            more["null_value_counts"] = {c: seen[c]["empty"] for c in known}
+        if "row_id" in known:
+            twice = duplicate_ids(rows)
+            more["duplicate_row_id_count"] = twice.count()
+            if more["duplicate_row_id_count"]:
+                more["duplicate_row_ids"] = [r["row_id"] for r in twice.orderBy("row_id").limit(SAMPLE).collect()]
                 failures.append("duplicate_row_ids")
             if rows.where("row_id IS NULL OR trim(row_id) = ''").limit(1).count():
                 failures.append("missing_row_ids")

@@ -23,21 +23,31 @@ class EvaluationError(ValueError):
         self.details = details
 
 
+def round4(x: Column) -> Column:
+    """A non-negative double to four places as r4() rounds it: by its exact value, a tie to the even neighbour.
+
+    x * 20000 is split into a product and its error, which decide whether x lies above or below the middle of two neighbours.
+    """
+    k, p, c = F.floor(x * 10000), x * 20000, x * 134217729.0
+    high = c - (c - x)
+    off = (p - (2 * k + 1)) + ((high * 20000 - p) + (x - high) * 20000)
+    return (k + F.when((off > 0) | ((off == 0) & (k % 2 == 1)), 1).otherwise(0)) / 10000
+
+
 def ratio4(num: Column, den: Column) -> Column:
-    """num / den to four places, half up, in integers; 1 where den is 0."""
-    safe = F.when(den == 0, 1).otherwise(den).cast("long")
-    top, bottom = F.lit(20000) * num.cast("long") + safe, 2 * safe
-    return F.when(den == 0, 1.0).otherwise(((top - top % bottom) / bottom) / 10000)
+    """num / den to four places; 1 where den is 0."""
+    return F.when(den == 0, 1.0).otherwise(round4(num.cast("double") / F.when(den == 0, 1).otherwise(den)))
 
 
 def r4(num: int, den: int) -> float:
+    """ratio4 on the driver."""
     return round(num / den, 4) if den else 1.0
 
 
-def joined(outcomes: DataFrame, gold: DataFrame) -> DataFrame:
-    """gold with each row's outcome: state, tier, decode (nulls where the batch lacks the row)."""
+def joined(outcomes: DataFrame, gold: DataFrame, how: str = "left") -> DataFrame:
+    """gold with each row's outcome: state, tier, decode (nulls where the batch lacks the row). how: right keeps all outcomes instead."""
     g = gold.select("row_id", "expect", *[F.col(c).alias(f"g_{c}") for c in ("category", "subcategory", "attributes", "is_winter_rated")])
-    j = g.join(outcomes.select("row_id", "state", "tier", "decode"), "row_id", "left")
+    j = g.join(outcomes.select("row_id", "state", "tier", "decode"), "row_id", how)
     d = F.col("decode")
     return j.withColumns(
         {
@@ -78,22 +88,61 @@ def attribute_counts(j: DataFrame, pack: Pack) -> DataFrame:
     return each.groupBy("attribute").agg(F.sum("ok").alias("correct"), F.count("*").alias("total"))
 
 
-def tier_counts(outcomes: DataFrame, j: DataFrame) -> DataFrame:
-    """tier, rows, gold_rows, gold_correct."""
-    rows = outcomes.where("state = 'decoded'").groupBy("tier").agg(F.count("*").alias("rows"))
-    right = F.col("cat_ok") & F.col("sub_ok") & (F.col("p_flag") == F.col("g_flag"))
-    scored = j.where("wanted AND got").groupBy("tier").agg(F.count("*").alias("gold_rows"), F.count_if(right).alias("gold_correct"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.join(scored, "tier", "left").select("tier", "rows", zero("gold_rows"), zero("gold_correct"))
+def tier_counts(outcomes: DataFrame, gold: DataFrame) -> DataFrame:
+    """tier, rows, gold_rows, gold_correct of decoded rows: one join, one aggregate."""
+    j = joined(outcomes.where("state = 'decoded'"), gold, "right")
+    wanted = F.coalesce("wanted", F.lit(False))
+    right = wanted & F.col("cat_ok") & F.col("sub_ok") & (F.col("p_flag") == F.col("g_flag"))
+    return j.groupBy("tier").agg(F.count("*").alias("rows"), F.count_if(wanted).alias("gold_rows"), F.count_if(right).alias("gold_correct"))
+
+
+def label_pairs(df: DataFrame, gold: Column, pred: Column) -> DataFrame:
+    """gold_label, pred_label, n."""
+    return df.groupBy(gold.alias("gold_label"), pred.alias("pred_label")).agg(F.count("*").alias("n"))
 
 
 def confusion(j: DataFrame) -> DataFrame:
     """gold_label, pred_label, n of wanted rows that were rejected or labelled otherwise."""
     d = F.col("decode")
-    gold = F.concat_ws("/", "g_category", "g_subcategory")
     pred = F.when(F.col("got"), F.concat_ws("/", d["category"], d["subcategory"])).otherwise(F.concat(F.lit("<"), F.col("state"), F.lit(">")))
     wrong = j.where(F.col("wanted") & ~(F.col("got") & F.col("cat_ok") & F.col("sub_ok")))
-    return wrong.groupBy(gold.alias("gold_label"), pred.alias("pred_label")).agg(F.count("*").alias("n"))
+    return label_pairs(wrong, F.concat_ws("/", "g_category", "g_subcategory"), pred)
+
+
+def verdicts(outcomes: DataFrame, gold: DataFrame) -> DataFrame:
+    """joined() with verdict: match, miss, recall_miss, correct_abstention or unexpected_decode."""
+    w, g = F.col("wanted"), F.col("got")
+    hit = F.col("cat_ok") & F.col("sub_ok") & (F.col("p_flag") == F.col("g_flag"))
+    verdict = F.when(w & g & hit, "match").when(w & g, "miss").when(w, "recall_miss").when(g, "unexpected_decode").otherwise("correct_abstention")
+    return joined(outcomes, gold).withColumn("verdict", verdict)
+
+
+def inspect_row(outcomes: DataFrame, gold: DataFrame, row_id: str) -> DataFrame:
+    """One row: row_id, sku, title, state, tier, decode, reason and the gold set's verdict (null: not a gold row)."""
+    own = outcomes.where(F.col("row_id") == row_id)
+    seen = verdicts(own, gold.where(F.col("row_id") == row_id)).select("row_id", "expect", "verdict")
+    return own.join(seen, "row_id", "left").select("row_id", "sku", "title", "state", "tier", "decode", "reason", "expect", "verdict")
+
+
+def gold_outcomes(outcomes: DataFrame, gold: DataFrame) -> DataFrame:
+    """row_id, state, category, subcategory, is_winter_rated, tier of every gold row: a snapshot to hold later runs against."""
+    d = F.when(F.col("state") == "decoded", F.col("decode"))
+    return gold.select("row_id").join(outcomes, "row_id").select("row_id", "state", *[d[k].alias(k) for k in ("category", "subcategory", "is_winter_rated")], F.when(F.col("state") == "decoded", F.col("tier")).alias("tier"))
+
+
+def missing_gold(gold: DataFrame, rows: DataFrame, key: str = "row_id") -> DataFrame:
+    """The keys of gold rows that rows lack."""
+    return gold.select(key).join(rows.select(key), key, "left_anti")
+
+
+def overlap(a: DataFrame, b: DataFrame, key: str = "row_id") -> DataFrame:
+    """The keys that stand on both sides, each once per row of a."""
+    return a.select(key).join(b.select(key), key, "left_semi")
+
+
+def up_to(df: DataFrame, n: int, key: str = "row_id") -> DataFrame:
+    """Rows whose key is a letter and a number of n at most."""
+    return df.where(F.substring(key, 2, 18).try_cast("long") <= n)
 
 
 def gold_summary(j: DataFrame) -> DataFrame:
@@ -136,7 +185,7 @@ def evaluate(outcomes: DataFrame, gold: DataFrame, manifest: dict, pack: Pack, g
             raise EvaluationError("gold set must not be empty")
         if summary["missing"]:
             raise EvaluationError("gold rows missing from the batch", artifact="gold")
-        cats, attrs, tiers, pairs = category_counts(j).collect(), attribute_counts(j, pack).collect(), tier_counts(outcomes, j).collect(), confusion(j).collect()
+        cats, attrs, tiers, pairs = category_counts(j).collect(), attribute_counts(j, pack).collect(), tier_counts(outcomes, gold).collect(), confusion(j).collect()
     finally:
         j.unpersist()
     categories = {}

@@ -19,8 +19,8 @@ from ..packs import Pack
 from . import rules
 from .validate import errors
 
-#: A dimension is broadcast up to this many rows; a larger one is joined by Spark's own choice.
-BROADCAST_ROWS = 100_000
+#: A dimension is broadcast if the plan's estimate of its size is no more; a larger one is joined by Spark's own choice.
+BROADCAST_BYTES = 32 << 20
 
 
 class Tier(Protocol):
@@ -31,8 +31,10 @@ class Tier(Protocol):
     def identity(self) -> dict: ...
 
 
-def _small(dim: DataFrame) -> DataFrame:
-    return F.broadcast(dim) if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dim
+def small(dim: DataFrame) -> DataFrame:
+    """dim with a broadcast hint if its estimated bytes allow it. Nothing is run: files and local rows have known sizes."""
+    size = int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(dim) if size <= BROADCAST_BYTES else dim
 
 
 class CatalogTier:
@@ -46,7 +48,7 @@ class CatalogTier:
     def add(self, df, pack, wanted, candidate, error):
         entry = F.struct("category", "subcategory", "attributes", "is_winter_rated", F.concat(F.lit("catalog:"), F.col("key")).alias("evidence"))
         dim = self.dim.select(F.col("key").alias("_key"), entry.cast(rules.candidate_type(pack)).alias(candidate))
-        return df.join(_small(dim), normalize_key(F.col("sku")) == F.col("_key"), "left").drop("_key").withColumn(error, F.lit(None).cast("string"))
+        return df.join(small(dim), normalize_key(F.col("sku")) == F.col("_key"), "left").drop("_key").withColumn(error, F.lit(None).cast("string"))
 
     def identity(self) -> dict:
         return {"adapter": "catalog"}
@@ -78,7 +80,7 @@ class FixtureTier:
     def add(self, df, pack, wanted, candidate, error):
         entry = F.struct("category", "subcategory", "attributes", "is_winter_rated", F.lit("model:stub-fixture").alias("evidence"))
         dim = self.dim.select(F.col("title").alias("_key"), entry.cast(rules.candidate_type(pack)).alias(candidate))
-        return df.join(_small(dim), normalize_title(F.col("title")) == F.col("_key"), "left").drop("_key").withColumn(error, F.lit(None).cast("string"))
+        return df.join(small(dim), normalize_title(F.col("title")) == F.col("_key"), "left").drop("_key").withColumn(error, F.lit(None).cast("string"))
 
     def identity(self) -> dict:
         return {"adapter": "fixture", "fixture_sha256": self.fixture_sha256, "deterministic": True}

@@ -16,9 +16,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.digest import sha256_json
-from ..operators import compare, contract, evaluate, gate, tiers
-from ..operators.registry import Registry, payload, set_digest
+from ..functions.digest import set_digest, sha256_json
+from ..operators import bundle, compare, contract, evaluate, gate, tiers
+from ..operators.registry import Refusal, Registry, payload, refused
 from ..packs import PARTS, Pack
 from ..sources import synth
 from ..sources.files import read_raw_csv, write_json, write_raw_csv
@@ -30,7 +30,7 @@ THRESHOLDS = {"flag_precision": 0.97, "category_accuracy": 0.93, "coverage": 0.8
 def implementation() -> dict[str, str]:
     """Digests of the modules that decide an outcome."""
     here = Path(__file__).resolve().parent.parent
-    names = ("packs.py", "functions/text.py", "functions/digest.py", "operators/rules.py", "operators/tiers.py", "operators/validate.py", "operators/contract.py")
+    names = ("packs.py", "functions/text.py", "functions/digest.py", "operators/rules.py", "operators/tiers.py", "operators/validate.py", "operators/contract.py", "sources/files.py")
     return {n: hashlib.sha256((here / n).read_bytes()).hexdigest() for n in names}
 
 
@@ -92,7 +92,11 @@ def run(spark: SparkSession, raw_path: str, gold: DataFrame, tier_list: list, pa
     difference = compare.report(compare.diff(before, after), {"batch_id": old.get("batch_id")}, {"batch_id": manifest["batch_id"]})
     write_json(difference, work / "comparison_report.json")
     registry = Registry(spark, str(work / "registry"))
-    loaded = registry.load(read_raw_csv(spark, raw_path), outcomes, gold, manifest, report, judged, thresholds, pack)
+    try:
+        bundle.verify(spark, work, pack)
+        loaded = registry.load(read_raw_csv(spark, raw_path), outcomes, gold, manifest, report, judged, thresholds, pack)
+    except Refusal as r:
+        loaded = refused(r.reason, manifest["batch_id"], **r.details)
     write_json(loaded, work / "load_result.json")
     out = {"manifest": manifest, "evaluation": report, "gate": judged, "comparison": difference, "load": loaded}
     if not judged["passed"]:

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digest import bucketed_digest, row_digest, rowset_digest
+from ..functions.digest import row_digest, tree_digest
 from ..functions.text import first_number, first_token, normalize_key, normalize_title, tokens
-from ..operators import compare, evaluate, rules, tiers, validate
+from ..operators import adapter, bundle, compare, contract, evaluate, registry, rules, tiers, validate
 from ..packs import PARTS, WIDGETS, Pack
+from ..sources import files
+from ..sources.jsonl import object_status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -241,7 +243,7 @@ def category_totals(spark, sf_dir):
 )
 def catalog_tier(spark, sf_dir):
     c = table(spark, sf_dir, "part").where("p_type = 'PROMO'").select("p_partkey", "p_size")
-    c = tiers._small(c)
+    c = tiers.small(c)
     j = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag").join(c, F.col("l_partkey") == F.col("p_partkey"), "left")
     return j.groupBy("l_returnflag").agg(F.count("*").alias("lines"), F.count("p_partkey").alias("found"), _long(F.coalesce(F.sum("p_size"), F.lit(0))).alias("sizes"))
 
@@ -299,11 +301,9 @@ def reject_rows(spark, sf_dir):
     "SELECT field, CAST(missing AS BIGINT) AS missing, CAST(empty AS BIGINT) AS empty FROM (SELECT 'event_type' AS field, count(*) FILTER (x IS NULL) AS missing, count(*) FILTER (x = '') AS empty FROM (SELECT CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE event_type END AS x FROM events) UNION ALL SELECT 'props', count(*) FILTER (props IS NULL), count(*) FILTER (props = '') FROM events)"
 )
 def schema_profile(spark, sf_dir):
-    from ..operators.contract import profile
-
     m = F.col("event_id") % 10
     e = table(spark, sf_dir, "events").select(F.when(m == 0, None).when(m == 1, "").otherwise(F.col("event_type")).alias("event_type"), "props")
-    return profile(e, ["event_type", "props"])
+    return contract.profile(e, ["event_type", "props"])
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
@@ -313,14 +313,12 @@ def duplicate_keys(spark, sf_dir):
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def dedupe_last_wins(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("last"))
-    return e.select("user_id", "last.*")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return files.last_wins(e, "user_id", "event_id")
 
 
 @query("SELECT event_id, CASE WHEN k % 7 = 0 THEN 'malformed' WHEN k % 5 = 0 THEN 'not_object' WHEN k % 3 = 0 THEN 'missing_k' ELSE 'ok' END AS status FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)")
 def json_payload_errors(spark, sf_dir):
-    from ..sources.jsonl import object_status
-
     e = table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
     line = F.when(F.col("k") % 7 == 0, "{oops").when(F.col("k") % 5 == 0, "[1, 2]").when(F.col("k") % 3 == 0, '{"j": 1}').otherwise(F.col("props"))
     return e.select("event_id", object_status(line, ["k"]).alias("status"))
@@ -334,7 +332,18 @@ def flag_prf(spark, sf_dir):
     return evaluate.flag_counts(part_scored(spark, sf_dir))
 
 
-_R4 = "CASE WHEN {d} = 0 THEN 1.0 ELSE ((20000 * {n} + {d}) // (2 * {d}))::DOUBLE / 10000 END"
+class _Ratio:
+    """SQL of n / d to four places by the exact value of the double, a tie to the even neighbour; 1 where d is 0."""
+
+    def format(self, n: str, d: str) -> str:
+        x = f"(({n})::DOUBLE / ({d}))"
+        high = f"({x} * 134217729.0::DOUBLE - ({x} * 134217729.0::DOUBLE - {x}))"
+        k = f"floor({x} * 10000::DOUBLE)"
+        off = f"(({x} * 20000::DOUBLE - (2 * {k} + 1)) + (({high} * 20000::DOUBLE - {x} * 20000::DOUBLE) + ({x} - {high}) * 20000::DOUBLE))"
+        return f"CASE WHEN {d} = 0 THEN 1.0::DOUBLE ELSE ({k} + CASE WHEN {off} > 0 OR ({off} = 0 AND CAST({k} AS BIGINT) % 2 = 1) THEN 1 ELSE 0 END) / 10000::DOUBLE END"
+
+
+_R4 = _Ratio()
 
 
 @query(
@@ -367,8 +376,7 @@ def attribute_accuracy(spark, sf_dir):
     + "SELECT o.tier, count(*) AS rows, count(*) FILTER (j.wanted) AS gold_rows, count(*) FILTER (j.wanted AND j.cat_ok AND j.sub_ok AND j.o_flag = j.g_flag) AS gold_correct FROM o LEFT JOIN j ON o.row_id = j.row_id WHERE o.state = 'decoded' GROUP BY o.tier"
 )
 def tier_scores(spark, sf_dir):
-    b = part_batch(spark, sf_dir)
-    return evaluate.tier_counts(b, evaluate.joined(b, part_gold(spark, sf_dir)))
+    return evaluate.tier_counts(part_batch(spark, sf_dir), part_gold(spark, sf_dir))
 
 
 @query("WITH " + _GOLD + "SELECT g_cat || '/' || g_sub AS gold_label, CASE WHEN got THEN o_cat || '/' || o_sub ELSE '<' || state || '>' END AS pred_label, count(*) AS n FROM j WHERE wanted AND NOT (got AND cat_ok AND sub_ok) GROUP BY ALL")
@@ -407,7 +415,7 @@ def coverage(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def gold_missing(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return evaluate.missing_gold(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query(
@@ -418,7 +426,7 @@ def label_confusion(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     plain = ~(F.contains("text", F.lit("|")) | F.contains("text", F.lit("!!")) | F.contains("text", F.lit("###")))
     pred = F.when(plain & (F.col("n_chars") > 600), "good").when(plain, "short").otherwise("bad")
-    return d.groupBy(F.when(F.col("quality") == 1, "good").otherwise("bad").alias("gold_label"), pred.alias("pred_label")).agg(F.count("*").alias("n"))
+    return evaluate.label_pairs(d, F.when(F.col("quality") == 1, "good").otherwise("bad"), pred)
 
 
 @query(
@@ -436,17 +444,22 @@ def label_confusion(spark, sf_dir):
     + ", 0.10, '<=' FROM n) SELECT name, CAST(actual AS DOUBLE) AS actual, CAST(threshold AS DOUBLE) AS threshold, op, CASE op WHEN '>=' THEN actual >= threshold ELSE actual <= threshold END AS passed FROM a"
 )
 def gate_checks(spark, sf_dir):
-    b = part_batch(spark, sf_dir)
-    j = evaluate.joined(b, part_gold(spark, sf_dir))
-    n = b.agg(F.count("*").alias("total"), F.count_if(F.col("state") == "decoded").alias("decoded"), F.count_if(F.col("state") == "quarantined").alias("quar"), F.count_if(F.col("state") == "errored").alias("errors"))
-    n = n.crossJoin(evaluate.flag_counts(j)).crossJoin(evaluate.gold_summary(j).select("expected", "category_correct"))  # one row each
-    c = F.col
+    j = evaluate.joined(part_batch(spark, sf_dir), part_gold(spark, sf_dir), "right")  # all outcomes, read once
+    c, w = F.col, F.coalesce("wanted", F.lit(False))
+    n = j.agg(
+        F.count("*").alias("total"),
+        *[F.count_if(c("state") == s).alias(s) for s in ("decoded", "quarantined", "errored")],
+        F.count_if(w & c("got") & c("p_flag") & c("g_flag")).alias("tp"),
+        F.count_if(c("wanted").isNotNull() & c("got") & c("p_flag")).alias("flagged"),
+        F.count_if(w).alias("expected"),
+        F.count_if(w & c("got") & c("cat_ok")).alias("correct"),
+    )
     rows = [
-        ("flag_precision", evaluate.ratio4(c("tp"), c("tp") + c("fp")), 0.97, ">="),
-        ("category_accuracy", evaluate.ratio4(c("category_correct"), c("expected")), 0.93, ">="),
+        ("flag_precision", evaluate.ratio4(c("tp"), c("flagged")), 0.97, ">="),
+        ("category_accuracy", evaluate.ratio4(c("correct"), c("expected")), 0.93, ">="),
         ("coverage", evaluate.ratio4(c("decoded"), c("total")), 0.80, ">="),
-        ("error_rows", c("errors").cast("double"), 0.0, "<="),
-        ("quarantine_rate", evaluate.ratio4(c("quar"), c("total")), 0.10, "<="),
+        ("error_rows", c("errored").cast("double"), 0.0, "<="),
+        ("quarantine_rate", evaluate.ratio4(c("quarantined"), c("total")), 0.10, "<="),
     ]
     made = F.array(*[F.struct(F.lit(n_).alias("name"), v.alias("actual"), F.lit(float(t)).alias("threshold"), F.lit(op).alias("op"), (v >= t if op == ">=" else v <= t).alias("passed")) for n_, v, t, op in rows])
     return n.select(F.explode(made).alias("r")).select("r.*")
@@ -463,22 +476,32 @@ def row_digests(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", row_digest(["p_partkey", "p_name", "p_brand", "p_size"]).alias("digest"))
 
 
-@query(f"SELECT count(*) AS rows, sha256(string_agg(sha256({_PART_TEXT}), ',' ORDER BY p_partkey)) AS digest FROM part")
+def _tree(rows: str, by: str = "") -> str:
+    """SQL of the tree digest of a table of d (and the columns by, each followed by a comma)."""
+    return (
+        f"WITH r AS ({rows}), a AS (SELECT {by} left(d, 5) AS p, count(*) AS n, sha256(string_agg(d, ',' ORDER BY d)) AS d FROM r GROUP BY {by} left(d, 5)), "
+        f"b AS (SELECT {by} left(p, 2) AS q, sum(n) AS n, sha256(string_agg(d, ',' ORDER BY p)) AS d FROM a GROUP BY {by} left(p, 2)) "
+        f"SELECT {by} CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, ',' ORDER BY q)) AS digest FROM b" + (f" GROUP BY {by.rstrip(', ')}" if by else "")
+    )
+
+
+@query(_tree(f"SELECT sha256({_PART_TEXT}) AS d FROM part"))
 def rowset_digests(spark, sf_dir):
-    return rowset_digest(table(spark, sf_dir, "part"), "p_partkey", ["p_partkey", "p_name", "p_brand", "p_size"])
+    return tree_digest(table(spark, sf_dir, "part").select(row_digest(["p_partkey", "p_name", "p_brand", "p_size"]).alias("d")))
+
 
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 
-@query(f"SELECT o_orderstatus, count(*) AS rows, sha256(string_agg(d, ',' ORDER BY d)) AS digest FROM (SELECT o_orderstatus, sha256({_ORDER_TEXT}) AS d FROM orders) GROUP BY o_orderstatus")
+
+@query(_tree(f"SELECT o_orderstatus, sha256({_ORDER_TEXT}) AS d FROM orders", "o_orderstatus,"))
 def group_digests(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderstatus", row_digest(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]).alias("d"))
-    return o.groupBy("o_orderstatus").agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("digest"))
+    return tree_digest(table(spark, sf_dir, "orders").select("o_orderstatus", row_digest(_ORDER_COLUMNS).alias("d")), ["o_orderstatus"])
 
 
+@query(_tree(f"SELECT sha256({_ORDER_TEXT}) AS d FROM orders"))
 def bucketed_digests(spark, sf_dir):
-    return bucketed_digest(table(spark, sf_dir, "orders"), "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
-
+    return tree_digest(table(spark, sf_dir, "orders").select(row_digest(_ORDER_COLUMNS).alias("d")))
 
-QUERIES["bucketed_digests"] = bucketed_digests
 
 # ---- batch differences ----------------------------------------------------------------------------------------------
 
@@ -539,42 +562,53 @@ def batch_changed_rows(spark, sf_dir):
 @query("SELECT side, k FROM (SELECT 'orders' AS side, o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT 'lineitem', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'))")
 def partition_anti_join(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
-    left = o.join(li, "k", "left_anti").select(F.lit("orders").alias("side"), "k")
-    right = li.join(o.where("o_orderstatus <> 'P'"), "k", "left_anti").select(F.lit("lineitem").alias("side"), "k")
-    return left.unionByName(right)
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
+    orders = registry.gaps(o, li, "k", ("orders", "")).where("side = 'orders'")
+    return orders.unionByName(registry.gaps(li, o.where("o_orderstatus <> 'P'"), "k", ("lineitem", "")).where("side = 'lineitem'"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)")
 def overlap_semi_join(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 40")
-    return table(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 40").withColumnRenamed("l_orderkey", "o_orderkey")
+    return evaluate.overlap(table(spark, sf_dir, "orders"), li, "o_orderkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <> CAST(l_quantity AS INT) AND l_linestatus = 'F' AND p_type = 'PROMO'")
+@query(
+    "SELECT s_suppkey, array_to_string(list_filter([CASE WHEN s_name IS DISTINCT FROM name THEN 's_name' END, CASE WHEN s_nationkey IS DISTINCT FROM nation THEN 's_nationkey' END], lambda x: x IS NOT NULL), ',') AS fields FROM supplier "
+    "JOIN (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 = 0 THEN s_name || '?' ELSE s_name END AS name, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_nationkey END AS nation FROM supplier WHERE s_suppkey % 3 <> 0) ON k = s_suppkey WHERE s_suppkey % 7 = 0 OR s_suppkey % 5 = 0"
+)
 def source_value_mismatch(spark, sf_dir):
-    p = tiers._small(table(spark, sf_dir, "part").where("p_type = 'PROMO'").select("p_partkey", "p_size"))
-    li = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return li.join(p, (F.col("l_partkey") == F.col("p_partkey")) & (F.col("p_size") != F.col("l_quantity").cast("int"))).select("l_orderkey", "l_linenumber", "p_partkey")
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    other = s.where(k % 3 != 0).select("s_suppkey", F.when(k % 7 == 0, F.concat("s_name", F.lit("?"))).otherwise(F.col("s_name")).alias("s_name"), F.when(k % 5 != 0, F.col("s_nationkey")).alias("s_nationkey"))
+    return registry.value_mismatches(s, other, "s_suppkey", ["s_name", "s_nationkey"]).select("s_suppkey", F.array_join("fields", ",").alias("fields"))
+
+
+@query("SELECT 'R' || p_partkey AS row_id FROM part WHERE p_partkey % 19 = 0")
+def gold_title_mismatch(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    raw = p.select(F.concat(F.lit("R"), k).alias("row_id"), F.col("p_name").alias("title"))
+    gold = p.select(F.concat(F.lit("R"), k).alias("row_id"), F.when(k % 19 == 0, F.concat("p_name", F.lit("s"))).otherwise(F.col("p_name")).alias("title"))
+    return registry.value_mismatches(gold, raw, "row_id", ["title"]).select("row_id")
 
 
 @query(f"WITH {_V2} SELECT k, state, pri FROM v2 WHERE k NOT IN (SELECT o_orderkey FROM orders)")
 def append_only_insert(spark, sf_dir):
     v1, v2 = _versions(spark, sf_dir)
-    return v2.join(v1.select("k"), "k", "left_anti").select("k", "state", "pri")
+    return registry.appended(v2, v1, "k").select("k", "state", "pri")
 
 
 @query(f"WITH {_V2} SELECT v2.k FROM v2 JOIN orders ON k = o_orderkey WHERE sha256(concat_ws('|', state, pri)) <> sha256(concat_ws('|', o_orderstatus, o_orderpriority))")
 def content_conflicts(spark, sf_dir):
-    v1, v2 = (v.select("k", row_digest(["state", "pri"]).alias("d")) for v in _versions(spark, sf_dir))
-    return v2.alias("b").join(v1.alias("a"), "k").where("a.d <> b.d").select("k")
+    v1, v2 = (v.select("k", row_digest(["state", "pri"]).alias("payload_sha256")) for v in _versions(spark, sf_dir))
+    return registry.conflicts(v2, v1, "k")
 
 
 @query(f"WITH {_V2}, s AS (SELECT o_orderkey AS k, 1 AS origin FROM orders UNION ALL SELECT k, 2 FROM v2 WHERE k NOT IN (SELECT o_orderkey FROM orders)) SELECT origin, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM s GROUP BY origin")
 def snapshot_union(spark, sf_dir):
     v1, v2 = _versions(spark, sf_dir)
-    s = v1.select("k", F.lit(1).alias("origin")).unionByName(v2.join(v1.select("k"), "k", "left_anti").select("k", F.lit(2).alias("origin")))
-    return s.groupBy("origin").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
+    d = row_digest(["state", "pri"]).alias("payload_sha256")
+    s = registry.snapshot_after(v1.select("k", d, F.lit(1).alias("origin_batch_id")), v2.select("k", d), 2, "k")
+    return s.groupBy(F.col("origin_batch_id").alias("origin")).agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
 
 
 @query(
@@ -582,64 +616,145 @@ def snapshot_union(spark, sf_dir):
     "SELECT count(*) FILTER (m.k IS NULL) AS missing, count(*) FILTER (p_partkey IS NULL) AS extra, count(*) FILTER (p_name <> name) AS payload, count(*) FILTER (p_brand <> origin) AS provenance FROM part FULL JOIN m ON p_partkey = m.k"
 )
 def reconcile_mutations(spark, sf_dir):
-    from ..operators.registry import mutations
-
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     expected = p.select(k.alias("row_id"), F.col("p_name").alias("payload_sha256"), F.col("p_brand").alias("origin_batch_id"))
     held = p.where(k % 41 != 0).select(k.alias("row_id"), F.when(k % 31 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("payload_sha256"), F.when(k % 37 == 0, "other").otherwise(F.col("p_brand")).alias("origin_batch_id"))
     extra = p.where(k % 43 == 0).select((k + 100000000).alias("row_id"), F.col("p_name").alias("payload_sha256"), F.col("p_brand").alias("origin_batch_id"))
-    return mutations(expected, held.unionByName(extra))
+    return registry.mutations(expected, held.unionByName(extra))
 
 
 @query("SELECT b AS batch_id, n, lag(b) OVER (ORDER BY b) AS parent_batch_id FROM (SELECT strftime(o_orderdate, '%Y-%m') AS b, count(*) AS n FROM orders GROUP BY 1)")
 def lineage_prev_batch(spark, sf_dir):
-    from ..operators.registry import with_parent
-
     b = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("batch_id")).agg(F.count("*").alias("n"))
-    return with_parent(b, "batch_id")
+    return registry.with_parent(b, "batch_id")
 
 
 @query("SELECT batch_id, min(k) AS first_key, count(*) AS n FROM (SELECT o_custkey AS k, strftime(min(o_orderdate), '%Y') AS batch_id FROM orders GROUP BY 1) GROUP BY batch_id")
 def first_origin(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.date_format(F.min("o_orderdate"), "yyyy").alias("batch_id"))
-    return o.groupBy("batch_id").agg(F.min("k").alias("first_key"), F.count("*").alias("n"))
+    o = registry.first_origin(table(spark, sf_dir, "orders"), "o_custkey", F.date_format("o_orderdate", "yyyy"), "o_orderdate")
+    return o.groupBy(F.col("origin_batch_id").alias("batch_id")).agg(F.min("o_custkey").alias("first_key"), F.count("*").alias("n"))
 
 
 @query(
     "SELECT n_name, r_name, coalesce(s.n, 0) AS suppliers, coalesce(c.n, 0) AS customers, c.best FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 2 LEFT JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON s.k = n_nationkey LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n, max(c_acctbal) AS best FROM customer WHERE c_acctbal > 0 GROUP BY 1) c ON c.k = n_nationkey"
 )
 def registry_report(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"), F.max("c_acctbal").alias("best"))
-    r = table(spark, sf_dir, "region").where("r_regionkey <> 2")
-    n = table(spark, sf_dir, "nation")
-    j = n.join(r, n["n_regionkey"] == r["r_regionkey"], "left").join(s, "n_nationkey", "left").join(c, "n_nationkey", "left")
-    return j.select("n_name", "r_name", F.coalesce("suppliers", F.lit(0)).cast("long").alias("suppliers"), F.coalesce("customers", F.lit(0)).cast("long").alias("customers"), "best")
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"), F.max("c_acctbal").alias("best"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name", F.col("n_regionkey").alias("r_regionkey"))
+    n = registry.report_of(n, table(spark, sf_dir, "region").where("r_regionkey <> 2"), on="r_regionkey")
+    return registry.report_of(n, s, c, on="k", zeros=("suppliers", "customers")).select("n_name", "r_name", "suppliers", "customers", "best")
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY o_custkey")
 def latest_batch(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+    return registry.latest(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderdate", "o_orderkey")
 
 
-@query("SELECT a.p_partkey AS k, b.p_partkey AS foreign_k FROM part a JOIN part b ON sha256(a.p_name || '|' || a.p_brand || '|' || a.p_type || '|' || a.p_size) = sha256(b.p_name || '|' || b.p_brand || '|' || b.p_type || '|' || b.p_size) WHERE a.p_partkey < b.p_partkey")
+#: Decisions made of orders: most bind their own batch, some bind batch F wherever they are linked, some bind nothing.
+_BOUND = "sha256('{\"batch_id\":\"' || %s || '\",\"passed\":' || CASE WHEN o_orderkey %% 13 <> 0 THEN 'true' ELSE 'false' END || ',\"report_sha256\":\"' || o_custkey || '\",\"thresholds_sha256\":\"' || o_orderpriority || '\"}')"
+_DECISIONS = f"d AS (SELECT o_orderstatus AS batch, o_orderkey % 13 <> 0 AS passed, {_BOUND % "'F'"} AS bound, CASE WHEN o_orderkey % 7 = 0 THEN {_BOUND % "'F'"} WHEN o_orderkey % 11 = 0 THEN 'bad' ELSE {_BOUND % 'o_orderstatus'} END AS decision_id FROM orders)"
+
+
+def _decisions(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k, F.col("o_orderstatus").alias("batch_id"), (k % 13 != 0).alias("passed"), F.col("o_custkey").cast("string").alias("report_sha256"), F.col("o_orderpriority").alias("thresholds_sha256"))
+    return o.withColumn("decision_id", F.when(k % 7 == 0, registry.decision_key(F.lit("F"))).when(k % 11 == 0, "bad").otherwise(registry.decision_key(F.col("batch_id"))))
+
+
+@query(f"WITH {_DECISIONS} SELECT decision_id FROM d WHERE batch <> 'F' AND decision_id = bound")
 def foreign_link_scan(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.sha2(F.concat_ws("|", "p_name", "p_brand", "p_type", "p_size"), 256).alias("d"))
-    j = p.alias("a").join(p.alias("b"), "d").where("a.p_partkey < b.p_partkey")
-    return j.select(F.col("a.p_partkey").alias("k"), F.col("b.p_partkey").alias("foreign_k"))
+    return registry.audit_decisions(_decisions(spark, sf_dir), "F").where("reason = 'foreign'").select("decision_id")
+
+
+@query(f"WITH {_DECISIONS} SELECT reason, count(*) AS n FROM (SELECT 'id_mismatch' AS reason FROM d WHERE batch = 'F' AND decision_id <> bound UNION ALL SELECT 'not_passed' FROM d WHERE batch = 'F' AND NOT passed UNION ALL SELECT 'foreign' FROM d WHERE batch <> 'F' AND decision_id = bound) GROUP BY reason")
+def decision_audit(spark, sf_dir):
+    return registry.audit_decisions(_decisions(spark, sf_dir), "F").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_V2} SELECT count(*) FILTER (o_orderkey IS NULL) AS added, count(*) FILTER (k IS NULL) AS removed, count(*) FILTER (k IS NOT NULL AND o_orderkey IS NOT NULL) AS unchanged, count(*) FILTER (k IS NOT NULL AND o_orderkey IS NOT NULL AND (state <> o_orderstatus OR pri <> o_orderpriority)) AS conflicts FROM orders FULL JOIN v2 ON k = o_orderkey")
+def lineage_replay(spark, sf_dir):
+    v1, v2 = (v.select("k", row_digest(["state", "pri"]).alias("payload_sha256")) for v in _versions(spark, sf_dir))
+    return registry.lineage_counts(v1, v2, "k")
+
+
+@query(
+    "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'payload_malformed' WHEN 1 THEN 'payload_not_object' WHEN 2 THEN 'attributes_not_object' WHEN 3 THEN 'is_winter_rated_out_of_domain' ELSE '' END AS errors FROM part"
+)
+def product_domain_errors(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    stored = F.when(k == 0, "{oops").when(k == 1, "[1]").when(k == 2, '{"attributes": "x", "is_winter_rated": true}').when(k == 3, '{"attributes": {}, "is_winter_rated": 2}')
+    stored = stored.otherwise(F.concat(F.lit('{"attributes": {"colour": "red"}, "is_winter_rated": false, "sku": "'), "p_partkey", F.lit('"}')))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(registry.product_errors(stored), ",").alias("errors"))
 
 
 @query(f"WITH {_V2}, c AS (SELECT v2.k FROM v2 JOIN orders ON k = o_orderkey WHERE state <> o_orderstatus) SELECT k FROM c ORDER BY CAST(k AS VARCHAR) LIMIT 20")
 def conflict_sample(spark, sf_dir):
     v1, v2 = _versions(spark, sf_dir)
-    c = v2.alias("b").join(v1.alias("a"), "k").where("a.state <> b.state").select("k")
-    return c.orderBy(F.col("k").cast("string")).limit(20)
+    return registry.sample(registry.conflicts(v2, v1, "k", "state"), "k")
 
 
 @query("SELECT k, side FROM (SELECT o_custkey AS k, 'both' AS side FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 9000) UNION ALL SELECT c_custkey, 'idle' FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders))")
 def set_operations(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
-    c = table(spark, sf_dir, "customer")
-    both = o.intersect(c.where("c_acctbal > 9000").select(F.col("c_custkey").alias("k"))).select("k", F.lit("both").alias("side"))
-    return both.unionByName(c.select(F.col("c_custkey").alias("k")).exceptAll(c.select(F.col("c_custkey").alias("k")).intersect(o)).select("k", F.lit("idle").alias("side")))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal")
+    both = evaluate.overlap(c.where("c_acctbal > 9000"), o, "k").distinct().select("k", F.lit("both").alias("side"))
+    return both.unionByName(registry.gaps(c, o, "k", ("idle", "unknown")).where("side = 'idle'").select("k", "side"))
+
+
+# ---- untrusted rows, verdicts and answers ---------------------------------------------------------------------------
+
+_FAULT = "CASE p_partkey % 9 WHEN 0 THEN 'malformed' WHEN 1 THEN 'not_object' WHEN 2 THEN 'missing:sku' WHEN 3 THEN 'type:is_winter_rated' WHEN 4 THEN 'empty:tier' WHEN 5 THEN 'type:attributes' WHEN 6 THEN 'unknown category: ''Toys''' WHEN 7 THEN 'bad colour: ''green''' ELSE '' END"
+
+
+@query(f"SELECT p_partkey, {_FAULT} AS errors FROM part")
+def decoded_row_errors(spark, sf_dir):
+    k = F.col("p_partkey") % 9
+    flag, tier = F.when(k == 3, "1").otherwise("true"), F.when(k == 4, "").otherwise("rules")
+    attrs = F.when(k == 5, '"red"').when(k == 7, '{"colour": "green"}').otherwise('{"colour": "red"}')
+    sku = F.when(k == 2, "").otherwise('"sku": "s", ')
+    line = F.concat(F.lit('{"row_id": "'), "p_partkey", F.lit('", '), sku, F.lit('"category": "'), F.when(k == 6, "Toys").otherwise("Fixing"), F.lit('", "subcategory": "Bolts", "attributes": '), attrs, F.lit(', "is_winter_rated": '), flag, F.lit(', "tier": "'), tier, F.lit('", "evidence": "e", "extra": 1}'))
+    line = F.when(k == 0, F.concat(line, F.lit("}{"))).when(k == 1, F.concat(F.lit("["), line, F.lit("]"))).otherwise(line)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(bundle.decoded_errors(line, WIDGETS), ",").alias("errors"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'missing:reason' WHEN 1 THEN 'type:title' WHEN 2 THEN 'unknown bucket' WHEN 3 THEN 'malformed' ELSE '' END AS errors FROM events")
+def reject_row_errors(spark, sf_dir):
+    k = F.col("event_id") % 5
+    title, bucket = F.when(k == 1, "null").otherwise('""'), F.when(k == 2, "lost").otherwise("abstained")
+    line = F.concat(F.lit('{"row_id": "'), "event_id", F.lit('", "sku": "", "title": '), title, F.lit(', "bucket": "'), bucket, F.lit('"'), F.when(k == 0, "").otherwise(', "reason": "r"'), F.when(k == 3, "").otherwise("}"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(bundle.reject_errors(line), ",").alias("errors"))
+
+
+_VERDICT = "CASE WHEN wanted AND got AND cat_ok AND sub_ok AND o_flag = g_flag THEN 'match' WHEN wanted AND got THEN 'miss' WHEN wanted THEN 'recall_miss' WHEN got THEN 'unexpected_decode' ELSE 'correct_abstention' END"
+
+
+@query("WITH " + _GOLD + f"SELECT row_id, {_VERDICT} AS verdict FROM j")
+def row_verdicts(spark, sf_dir):
+    return evaluate.verdicts(part_batch(spark, sf_dir), part_gold(spark, sf_dir)).select("row_id", "verdict")
+
+
+@query("WITH " + _GOLD + f"SELECT raw.row_id, raw.sku, raw.title, j.state, j.tier, j.expect, {_VERDICT} AS verdict FROM raw JOIN j ON raw.row_id = j.row_id WHERE raw.row_id = '42'")
+def row_inspector(spark, sf_dir):
+    return evaluate.inspect_row(part_batch(spark, sf_dir), part_gold(spark, sf_dir), "42").select("row_id", "sku", "title", "state", "tier", "expect", "verdict")
+
+
+@query("WITH " + _GOLD + "SELECT row_id, state, CASE WHEN got THEN o_cat END AS category, CASE WHEN got THEN o_sub END AS subcategory, CASE WHEN got THEN tier END AS tier FROM j")
+def gold_outcomes(spark, sf_dir):
+    return evaluate.gold_outcomes(part_batch(spark, sf_dir), part_gold(spark, sf_dir)).drop("is_winter_rated")
+
+
+@query("SELECT 'R' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') AS row_id, p_name AS title FROM part WHERE p_partkey <= 120 AND p_partkey % 10 <> 0")
+def baseline_rows(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(F.when(k % 10 == 0, F.concat(k, F.lit("x"))).otherwise(F.concat(F.lit("R"), F.lpad(k.cast("string"), 4, "0"))).alias("row_id"), F.col("p_name").alias("title"))
+    return evaluate.up_to(p.where("row_id LIKE 'R%'"), 120)
+
 
+@query("SELECT event_id, CASE WHEN event_id % 7 = 6 THEN 'Fixing' END AS category, CASE WHEN event_id % 7 = 6 THEN event_id % 2 = 0 END AS flag FROM events")
+def model_responses(spark, sf_dir):
+    k = F.col("event_id") % 7
+    good = F.concat(F.lit('{"category": "Fixing", "subcategory": "Bolts", "attributes": {}, "is_winter_rated": '), (F.col("event_id") % 2 == 0).cast("string"), F.lit("}"))
+    answer = F.when(k == 0, "Bolts, I think").when(k == 1, '{"abstain": true}').when(k == 2, "[1]").when(k == 3, '{"category": "Fixing"}').when(k == 4, F.replace(good, F.lit('"Fixing"'), F.lit("7"))).when(k == 5, F.replace(good, F.lit("{}"), F.lit('"none"'))).otherwise(good)
+    e = table(spark, sf_dir, "events").select("event_id", adapter.parsed(answer, WIDGETS).alias("c"))
+    return e.select("event_id", "c.category", F.col("c.is_winter_rated").alias("flag"))

@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_END = '"~end of the line~"'
+
+
+def strict_json(line: Column) -> Column:
+    """The line's one JSON value as a variant; null if it is none or has more behind it (which the parser alone lets pass)."""
+    v = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f",{_END}]")))
+    alone = F.try_variant_get(v, "$[1]", "string") == _END.strip('"')
+    return F.when(alone, F.try_variant_get(v, "$[0]", "variant"))
+
+
 def object_status(line: Column, required: Sequence[str]) -> Column:
     """ok, malformed (no JSON), not_object, or missing_<field> for a line of untrusted JSON."""
-    v = F.try_parse_json(line)
+    v = strict_json(line)
     out = F.when(v.isNull(), "malformed").when(~F.schema_of_variant(v).startswith("OBJECT"), "not_object")
     for f in required:
         out = out.when(F.try_variant_get(v, f"$.{f}", "variant").isNull(), f"missing_{f}")
@@ -21,7 +31,7 @@ def object_status(line: Column, required: Sequence[str]) -> Column:
 def read_untrusted(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
     """line, v (variant), status of every line that is not blank."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.col("value").alias("line"), F.try_parse_json("value").alias("v"), object_status(F.col("value"), required).alias("status"))
+    return lines.select(F.col("value").alias("line"), strict_json(F.col("value")).alias("v"), object_status(F.col("value"), required).alias("status"))
 
 
 def read_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
