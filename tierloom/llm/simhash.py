@@ -37,8 +37,8 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 WORDS, SIMILARITY = 5, 0.8
 #: Fingerprints of a chunk of an oversized shard; mean shard load above which one more block is cut.
 CELL, LOAD = 512, 32
-#: Buckets of the shingle counts that order the prefixes, the share of documents counted, and pairs looked at at once.
-BUCKETS, COUNTED, SLAB = 1 << 20, 8, 1 << 16
+#: Buckets of the shingle counts that order the prefixes, and pairs looked at at once.
+BUCKETS, SLAB = 1 << 20, 1 << 16
 #: Bits of a set's bitmap for each of its shingles (at least, and less than twice as many), and nodes of a rare shingle up to
 #: which their pairs are named before any bitmap is fetched; more carry their bitmaps along.
 DENSITY, FEW = 8, 32
@@ -271,8 +271,8 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, words: int, up: int, d
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
 
-    # counts only order the shingles, and any order finds the same pairs: a share of the documents is enough
-    seen = own.where(F.pmod("_k1", F.lit(COUNTED)) == 0).select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    # counts of all documents, by bucket: at most BUCKETS rows
+    seen = own.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(BUCKETS, np.int32)
     counts[seen["bucket"].to_numpy()] = np.minimum(seen["n"].to_numpy(), 2**31 - 1)
     shared = own.sparkSession.sparkContext.broadcast(counts)
