@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 _WS = r"[\s\x1c-\x1f]"
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c computed once a row however often use names it: a Column that is named twice is a copy of its whole expression."""
+    return F.transform(F.array(c), lambda bound: use(bound))[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{_WS}+|{_WS}+$", "")
 

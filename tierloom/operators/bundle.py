@@ -5,16 +5,18 @@ Documents are read once on the driver; the rows of decoded and rejects are check
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digest import sha256_json
+from ..functions.text import once
 from ..packs import Pack
 from ..sources.files import ArtifactError, read_document
-from ..sources.jsonl import object_status, strict_json
+from ..sources.jsonl import strict_json, value_status
 from . import rules, validate
 from .registry import Refusal
 from .shapes import ShapeError, check_document
@@ -27,29 +29,32 @@ BUCKETS = ("abstained", "quarantined", "errored")
 
 def row_errors(line: Column, fields: Mapping[str, str]) -> Column:
     """What a line of JSON breaks: malformed, not_object, or missing:, type: and empty: with a field's name (an empty array: nothing)."""
-    v, status = strict_json(line), object_status(line, [])
-    found = [F.when(status != "ok", status)]
-    for name, kind in fields.items():
-        value = F.try_variant_get(v, f"$.{name}", "variant")
+
+    def field(name: str, kind: str, value: Column) -> Column:
         bad = F.when(value.isNull(), f"missing:{name}").when(~F.schema_of_variant(value).startswith(kind.removesuffix("+")), f"type:{name}")
-        if kind.endswith("+"):
-            bad = bad.when(F.try_variant_get(v, f"$.{name}", "string") == "", f"empty:{name}")
-        found.append(F.when(status == "ok", bad))
-    return F.array_compact(F.array(*found))
+        return bad.when(F.try_variant_get(value, "$", "string") == "", f"empty:{name}") if kind.endswith("+") else bad
+
+    def found(v: Column) -> Column:
+        return F.array_compact(F.array(*[once(F.try_variant_get(v, f"$.{n}", "variant"), partial(field, n, k)) for n, k in fields.items()]))
+
+    return once(strict_json(line), lambda v: once(value_status(v, []), lambda status: F.when(status == "ok", found(v)).otherwise(F.array(status))))
+
+
+def _else(broken: Column, more: Callable[[], Column]) -> Column:
+    """broken, or, where it is empty, more(), which is computed for no other row."""
+    return once(broken, lambda found: F.when(F.size(found) > 0, found).otherwise(more()))
 
 
 def decoded_errors(line: Column, pack: Pack) -> Column:
     """row_errors() of a decoded row, or, where there are none, its breaches of the pack's domains."""
-    broken = row_errors(line, DECODED)
-    candidate = F.from_json(line, rules.candidate_type(pack))
-    return F.when(F.size(broken) > 0, broken).otherwise(validate.errors(candidate, pack))
+    breaches = lambda text: once(F.from_json(text, rules.candidate_type(pack)), lambda c: validate.errors(c, pack))
+    return once(line, lambda text: _else(row_errors(text, DECODED), lambda: breaches(text)))
 
 
 def reject_errors(line: Column) -> Column:
     """row_errors() of a reject, or an unknown bucket."""
-    broken = row_errors(line, REJECT)
-    bucket = F.get_json_object(line, "$.bucket")
-    return F.when(F.size(broken) > 0, broken).when(~bucket.isin(*BUCKETS), F.array(F.lit("unknown bucket"))).otherwise(F.array().cast("array<string>"))
+    unknown = lambda text: F.when(~F.get_json_object(text, "$.bucket").isin(*BUCKETS), F.array(F.lit("unknown bucket")))
+    return once(line, lambda text: _else(row_errors(text, REJECT), lambda: unknown(text).otherwise(F.array().cast("array<string>"))))
 
 
 def extra_fields(lines: DataFrame, fields: Mapping[str, str]) -> list[str]:

@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores. Parquet is split by bytes, so a million keys may be one task however much is computed of each."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _long(c) -> F.Column:
     return F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
 
@@ -715,7 +720,8 @@ def decoded_row_errors(spark, sf_dir):
     sku = F.when(k == 2, "").otherwise('"sku": "s", ')
     line = F.concat(F.lit('{"row_id": "'), "p_partkey", F.lit('", '), sku, F.lit('"category": "'), F.when(k == 6, "Toys").otherwise("Fixing"), F.lit('", "subcategory": "Bolts", "attributes": '), attrs, F.lit(', "is_winter_rated": '), flag, F.lit(', "tier": "'), tier, F.lit('", "evidence": "e", "extra": 1}'))
     line = F.when(k == 0, F.concat(line, F.lit("}{"))).when(k == 1, F.concat(F.lit("["), line, F.lit("]"))).otherwise(line)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(bundle.decoded_errors(line, WIDGETS), ",").alias("errors"))
+    keys = spread(table(spark, sf_dir, "part").select("p_partkey"))
+    return keys.select("p_partkey", F.array_join(bundle.decoded_errors(line, WIDGETS), ",").alias("errors"))
 
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'missing:reason' WHEN 1 THEN 'type:title' WHEN 2 THEN 'unknown bucket' WHEN 3 THEN 'malformed' ELSE '' END AS errors FROM events")
