@@ -1,8 +1,11 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
+from tierloom.llm import common
 from tierloom.llm import toxicity as t
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -120,3 +123,22 @@ def test_query_on_given_documents(spark):
     assert len(rows) == 1000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in rows)
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert np.mean([p == y for p, y in held]) > 0.95
+
+
+def test_features_of_a_large_batch_take_little_memory_at_once(monkeypatch):
+    r = random.Random(7)
+    texts = [" ".join(f"word{r.randrange(50_000)}" for _ in range(300)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1] * 750, pa.int32()), pa.array(texts)], names=["label", "text"])
+
+    def run():
+        tracemalloc.start()
+        out = [row for b in t.featured(iter([batch])) for row in zip(b.column(0).to_pylist(), [hash(tuple(x.as_py())) for x in b.column(1)], strict=True)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak
+
+    own, little = run()
+    monkeypatch.setattr(common, "SLICE", len(texts))  # the whole batch at once, as before
+    whole, much = run()
+    assert own == whole and len(own) == len(texts)
+    assert little < 30e6 < much

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, SPACE_BYTES, WHOLE, read, row_key, settle, sifted, whole_key, without
+from .common import KEY, SPACE_BYTES, WHOLE, read, row_key, settle, sifted, sliced, whole_key, without
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -264,7 +264,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, words: int, up: int, d
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for b in sliced(batches):
             found = [shingle_set(t.as_py(), words) for t in b.column(0).cast(pa.binary())]
             if found:
                 n += np.bincount((np.concatenate(found) % np.uint64(BUCKETS)).view(np.int64), minlength=BUCKETS)
@@ -278,7 +278,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, words: int, up: int, d
     shared = own.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingle_set(t.as_py(), words) for t in b.column(4).cast(pa.binary())]
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             fp = np.array([majority(x.astype(">u8").view(np.uint8).reshape(-1, 8)) for x in sets], np.uint64).view(np.int64)
@@ -324,7 +324,7 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_col: str, te
     own = sifted(docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")), named.select("_k1"), "_k1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [shingle_set(t.as_py(), words).view(np.int64) for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 

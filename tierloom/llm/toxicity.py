@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, WORD_BYTES, id_bucket, read, row_key, settle, without
+from .common import KEY, WORD_BYTES, id_bucket, read, row_key, settle, sliced, without
 
 SAMPLE, SEED, HASH_BITS = 16_000, 5, 22
 SUPPORT, GAIN, MOST_FEATURES = 3, 6.6, 8192
@@ -162,20 +162,22 @@ def fit(rows: Sequence[Sequence[int]], labels: Sequence[int], pairs: Sequence[tu
     return Model({int(f): float(x) for f, x in zip(kept, w, strict=True)}, float(b), len(pairs))
 
 
+def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """label, text -> label, f (the text's features), swapped (those of its counterfactuals)."""
+    ints = pa.list_(pa.int32())
+    for b in sliced(batches):
+        own = [words(t.as_py()) for t in b.column(1).cast(pa.binary())]
+        out = [(y, features(w), [features(s) for s in swaps(w)]) for y, w in zip(b.column(0).to_pylist(), own, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([int(o[0]) for o in out], pa.int32()), pa.array([o[1] for o in out], ints), pa.array([o[2] for o in out], pa.list_(ints))], names=["label", "f", "swapped"])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, fairness: float = FAIRNESS) -> Model:
     """Fit on the labelled rows outside the held-out fifth, at most `sample` of them."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     known = known.where(id_bucket("id") != 0).orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("label", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [words(t.as_py()) for t in b.column(1).cast(pa.binary())]
-            out = [(y, features(w), [features(s) for s in swaps(w)]) for y, w in zip(b.column(0).to_pylist(), own, strict=True)]
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([int(o[0]) for o in out], pa.int32()), pa.array([o[1] for o in out], ints), pa.array([o[2] for o in out], pa.list_(ints))], names=["label", "f", "swapped"])
-
-    rows = settle(rows.mapInArrow(run, "label int, f array<int>, swapped array<array<int>>"), "toxic-rows")
+    rows = settle(rows.mapInArrow(featured, "label int, f array<int>, swapped array<array<int>>"), "toxic-rows")
     # at most 2 ** HASH_BITS features, and no more than the sample holds
     counts = rows.select("label", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).where(F.col("n") >= SUPPORT).toArrow()
     total = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -186,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         """The kept features of each row, and of its counterfactuals where they differ."""
         ints = pa.list_(pa.int32())
         few = lambda x: np.intersect1d(x, known_features).tolist()
-        for b in batches:
+        for b in sliced(batches):
             f = [few(x) for x in b.column(1).to_pylist()]
             swapped = [[z for z in map(few, x) if z != own] for x, own in zip(b.column(2).to_pylist(), f, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, ints), pa.array(swapped, pa.list_(ints))], names=["label", "f", "swapped"])
