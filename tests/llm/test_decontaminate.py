@@ -90,3 +90,30 @@ def test_query_without_ansi_counts_no_items_of_clean_documents(spark):
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
     assert {r.n_items for r in got if not r.contaminated} == {0} and all(r.n_items > 0 for r in got if r.contaminated)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_small_windows_are_written_in_few_files(spark, frame, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(d, "BROADCAST_BYTES", 0)
+    files, settle = {}, d.settle
+
+    def watched(df, name, *how):
+        out = settle(df, name, *how)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(d, "settle", watched)
+    docs, items = made()
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert found(spark, frame, docs, items) == plain(docs, items)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(files) == {"windows", "prefixes"}
+    assert all((n <= d.FILES) == small for n in files.values())

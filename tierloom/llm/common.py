@@ -86,8 +86,13 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, SLICE)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors."""
+def settle(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    files: the most to write, for a frame that is known to be small. Each file costs several calls of the file system,
+    and where Hadoop lacks its native library, as many processes forked from the executor.
+    """
+    df = df.coalesce(files) if files else df
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,6 +19,8 @@ from .common import KEY, LOWER, UPPER, WORD_SEP, alnum_words, read, row_key, set
 WINDOW = 10
 #: Windows are broadcast while their words take no more bytes and rows than this; beyond it the join shuffles.
 BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 400_000
+#: Files of windows and of prefixes that are written while they are that small, however many partitions made them.
+FILES = 4
 
 
 def item_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -46,9 +48,10 @@ def prefixes(docs: DataFrame, windows: DataFrame, small: bool, text_col: str = "
 
 def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
     """Verified occurrences of windows: the row's key, start (words from 0), length, items."""
-    windows = settle(item_windows(bench, item_col, text_col, window), "windows")
+    most = bench.agg(F.sum(F.octet_length(text_col))).first()[0] or 0  # times `window`: the bytes of all windows at most
+    windows = settle(item_windows(bench, item_col, text_col, window), "windows", FILES if most * window <= BROADCAST_BYTES else None)
     small = _fits(windows)
-    wanted = settle(prefixes(docs, windows, small, text_col), "prefixes")
+    wanted = settle(prefixes(docs, windows, small, text_col), "prefixes", FILES if small else None)
     words = docs.select(*row_key(id_col, text_col), alnum_words(F.col(text_col)).alias("words"))
     placed = words.select(*KEY, "words", F.posexplode_outer("words").alias("pos", "word"))
     start, length = F.col("pos") - F.col("off"), F.size("window")
